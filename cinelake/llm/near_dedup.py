@@ -1,18 +1,19 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
-Signature: PERMUTATIONS minima over a document's shingles, b = BITS bits of each. The distance of two signatures is the
-number of places in which they differ. A signature is split into CHUNKS chunks of WIDTH places. By the pigeonhole
-principle two signatures within CHUNKS * (ERRORS + 1) - 1 = 19 places have a chunk with at most ERRORS = 1 wrong place.
-So each chunk emits one key for each place left out; signatures within the threshold share a key for certain, and
-pairs further apart often do. At similarity 0.8 a pair without any common key has probability below 2e-6.
+Signature: CHUNKS chunks of WIDTH minima over a document's shingles, BITS bits of each; a chunk fills one long. The
+distance of two signatures is the number of places in which they differ. By the pigeonhole principle two signatures
+within CHUNKS * (ERRORS + 1) - 1 = 19 places have a chunk with at most ERRORS = 1 wrong place. So each chunk emits one
+key for each place left out; signatures within the threshold share a key for certain, and pairs further apart often
+do. At similarity 0.8 a pair without any common key has probability below 2e-6.
 
 1. Documents with equal shingle sets form a class, named by its smallest doc_id; only classes go on.
-2. Each key links its classes to the smallest class under that key: pairs in proportion to the keys, never all pairs of
-   a group. Pairs are confirmed on full shingle sets, and confirmed links give components.
-3. Keys that still hold several components compare members of different components, by signature distance inside the
-   join condition; only pairs that may reach the similarity leave the join and are confirmed as well.
-
-Classes and counts are pre-aggregated on the map side; hot keys of joins are split by adaptive execution.
+2. The pivot of a key is the class that meets most others. Each class is paired with the best pivot of its keys: one
+   pair for each class, never all pairs of a group. Pairs are confirmed on full shingle sets, and confirmed links give
+   components.
+3. Keys that still hold several components compare members of different components. A pair leaves the join only
+   under the first key it has in common and only if a long sketch of FINE_PLACES minima, 2 bits of each, doesn't rule it out
+   (at similarity 0.8 that has probability below 1e-5); what leaves is confirmed as well. Large keys are split by adaptive
+   execution.
 
 Defined results: a null or wordless text has no shingles and no links; a text of fewer words than a shingle is one
 shingle; a row with a null doc_id takes no part in linking (component_id null, kept true); rows that repeat a doc_id
@@ -29,21 +30,24 @@ from pyspark.sql import functions as F
 
 from ._util import column, materialise, slices
 
-CHUNKS, WIDTH, BITS, ERRORS = 10, 5, 14, 1
+CHUNKS, WIDTH, BITS, ERRORS = 10, 5, 11, 1
+LANE = BITS + 1  # a spare bit for each place takes the carry
 PERMUTATIONS = CHUNKS * WIDTH
-LANES = 4  # places in a long, of 15 bits each
-LONGS = -(-PERMUTATIONS // LANES)
-#: Signatures further apart than this are not confirmed: at similarity 0.8 that has probability below 1e-9.
-FAR = 30
+#: Signatures further apart are not confirmed: 23 of 50 places differ at similarity 0.8 with probability below 1e-5.
+FAR = 23
+FINE_PLACES, FINE_FAR = 1024, 205
+FINE_LONGS = FINE_PLACES // 32
 SLICE = 4 << 20
 
 _rng = np.random.default_rng(20240917)
-_MULTIPLY = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
-_XOR = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 2**64, FINE_PLACES, dtype=np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 2**64, FINE_PLACES, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_FIELDS = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), *((f"s{i}", pa.int64()) for i in range(LONGS))]
-_SCHEMA = "doc_id long, n_shingles long, same binary, " + ", ".join(f"s{i} long" for i in range(LONGS))
+_SIGNS = [f"s{i}" for i in range(CHUNKS)]
+_FINE = [f"f{i}" for i in range(FINE_LONGS)]
+_FIELDS = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), *((s, pa.int64()) for s in _SIGNS)]
+_SCHEMA = "doc_id long, n_shingles long, same binary, " + ", ".join(f"{s} long" for s in _SIGNS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,21 +69,21 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """For each non-empty set PERMUTATIONS numbers of BITS bits."""
+def signatures(sets: list[np.ndarray], places: int = PERMUTATIONS, bits: int = BITS) -> np.ndarray:
+    """For each non-empty set so many numbers of so many bits."""
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1])).astype(np.int64)
     flat = np.concatenate(sets)
-    out = np.empty((len(sets), PERMUTATIONS), np.int64)
-    for k in range(PERMUTATIONS):
+    out = np.empty((len(sets), places), np.int64)
+    for k in range(places):
         least = np.minimum.reduceat((flat ^ _XOR[k]) * _MULTIPLY[k], starts)
-        out[:, k] = (_mix(least) >> np.uint64(64 - BITS)).astype(np.int64)
+        out[:, k] = (_mix(least) >> np.uint64(64 - bits)).astype(np.int64)
     return out
 
 
-def _pack(signs: np.ndarray) -> list[np.ndarray]:
-    padded = np.zeros((len(signs), LONGS * LANES), np.int64)
-    padded[:, :PERMUTATIONS] = signs
-    return [sum(padded[:, i * LANES + j] << (15 * j) for j in range(LANES)) for i in range(LONGS)]
+def _pack(signs: np.ndarray, lanes: int, width: int) -> np.ndarray:
+    """Places side by side in longs."""
+    parts = signs.astype(np.uint64).reshape(len(signs), -1, lanes) << (np.arange(lanes, dtype=np.uint64) * np.uint64(width))
+    return np.bitwise_or.reduce(parts, axis=2).view(np.int64)
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
@@ -88,11 +92,11 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 sets = [shingles(t, size) for t in column(part, "text")]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                packed = np.zeros((len(sets), LONGS), np.int64)
+                packed = np.zeros((len(sets), CHUNKS), np.int64)
                 if full:
-                    packed[full] = np.stack(_pack(signatures([sets[i] for i in full])), axis=1)
+                    packed[full] = _pack(signatures([sets[i] for i in full]), WIDTH, LANE)
                 same = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                data = [part.column(part.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), *(pa.array(packed[:, i]) for i in range(LONGS))]
+                data = [part.column(part.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), *(pa.array(packed[:, i]) for i in range(CHUNKS))]
                 yield pa.RecordBatch.from_arrays(data, schema=pa.schema(_FIELDS))
 
     return docs.mapInArrow(scan, _SCHEMA)
@@ -108,32 +112,70 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(scan, "id long, set array<long>")
 
 
+def _fine(docs: DataFrame, size: int) -> DataFrame:
+    schema = pa.schema([("id", pa.int64()), *((f, pa.int64()) for f in _FINE)])
+
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE // 4):
+                sets = [shingles(t, size) for t in column(part, "text")]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    packed = _pack(signatures([sets[i] for i in full], FINE_PLACES, 2), 32, 2)
+                    ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(full))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(FINE_LONGS))], schema=schema)
+
+    return docs.mapInArrow(scan, "id long, " + ", ".join(f"{f} long" for f in _FINE))
+
+
 def _keys() -> Column:
     """Of a class: the keys of each chunk with each place left out."""
 
-    def place(p: int):
-        return F.shiftrightunsigned(F.col(f"s{p // LANES}"), 15 * (p % LANES)).bitwiseAND(F.lit((1 << BITS) - 1))
+    def place(c: int, p: int):
+        return F.shiftrightunsigned(F.col(f"s{c}"), LANE * p).bitwiseAND(F.lit((1 << BITS) - 1))
 
     keys = []
     for c in range(CHUNKS):
         for out in range(WIDTH):
             key = F.lit(c * WIDTH + out).cast("long")
-            for p in range(c * WIDTH, (c + 1) * WIDTH):
-                if p != c * WIDTH + out:
-                    key = F.shiftleft(key, BITS).bitwiseOR(place(p))
+            for p in range(WIDTH):
+                if p != out:
+                    key = F.shiftleft(key, BITS).bitwiseOR(place(c, p))
             keys.append(key)
     return F.explode(F.array(*keys))
 
 
-def _distance(a: str, b: str) -> Column:
-    """Places in which two signatures differ: a carry for each lane that is not zero."""
-    ones = sum(((1 << BITS) - 1) << (15 * j) for j in range(LANES))
-    tops = sum(1 << (15 * j + BITS) for j in range(LANES))
-    total = F.lit(0)
-    for i in range(LONGS):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        total = total + F.bit_count((x + F.lit(ones)).bitwiseAND(F.lit(tops)))
-    return total
+def _wrong(chunk: int) -> Column:
+    """Places of a chunk in which the signatures of l and r differ: a carry for each lane that is not zero."""
+    ones = sum(((1 << BITS) - 1) << (LANE * p) for p in range(WIDTH))
+    tops = sum(1 << (LANE * p + BITS) for p in range(WIDTH))
+    x = F.col(f"l.s{chunk}").bitwiseXOR(F.col(f"r.s{chunk}"))
+    return F.bit_count((x + F.lit(ones)).bitwiseAND(F.lit(tops)))
+
+
+def _close(percent: int) -> Column:
+    """Whether sizes and signatures of l and r allow the similarity."""
+    distance = sum((_wrong(c) for c in range(1, CHUNKS)), _wrong(0))
+    return (F.least("l.n", "r.n") * 100 >= percent * F.greatest("l.n", "r.n")) & (distance <= FAR)
+
+
+def _first_key(key: Column) -> Column:
+    """Whether this key is the first that l and r have in common: so a pair leaves a join once."""
+    chain = F
+    for c in range(CHUNKS):
+        chain = chain.when(_wrong(c) <= ERRORS, F.struct(F.lit(c).alias("c"), _wrong(c).alias("wrong")))
+    place = F.shiftrightunsigned(key, BITS * (WIDTH - 1))
+    return (chain["c"] == F.floor(place / WIDTH)) & ((chain["wrong"] == 1) | (place % WIDTH == 0))
+
+
+def _fine_close() -> Column:
+    low = F.lit(0x5555555555555555)
+    total = None
+    for f in _FINE:
+        x = F.col(f"l.{f}").bitwiseXOR(F.col(f"r.{f}"))
+        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
+        total = n if total is None else total + n
+    return total <= FINE_FAR
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -155,6 +197,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
+    # Stars are written already; what is returned reads them.
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -164,41 +207,46 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(_signed(base, size), "signed")
     full = signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
-    signs = [f"s{i}" for i in range(LONGS)]
-    classes = materialise(full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in signs)), "classes")
+    classes = materialise(full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in _SIGNS)), "classes")
     keyed = classes.select("id", _keys().alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    members = materialise(keyed.join(stars.select("key", "first"), "key"), "members")
-    sized = classes.select("id", "n", *signs)
+    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("met")).where("first <> last")
+    members = materialise(keyed.join(shared.select("key", "met"), "key"), "members")
+    sized = classes.select("id", "n", *_SIGNS)
+    met = members.groupBy("id").agg(F.sum("met").alias("met"))
+    pivots = members.select("id", "key").join(met, "id").groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("met"), "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
         pairs = materialise(pairs, f"pairs-{tag}")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialise(_sets(base.join(ids, "doc_id", "left_semi"), size), f"sets-{tag}")
+        sets = materialise(_sets(_rows_of(base, pairs), size), f"sets-{tag}")
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         joined = pairs.join(left, "a").join(right, "b")
         return materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), f"links-{tag}")
 
-    near = (
-        members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct().join(sized.select(F.col("id").alias("a"), F.struct("n", *signs).alias("l")), "a").join(sized.select(F.col("id").alias("b"), F.struct("n", *signs).alias("r")), "b")
-    )
-    close = (F.least("l.n", "r.n") * 100 >= percent * F.greatest("l.n", "r.n")) & (_distance("l", "r") <= FAR)
-    links = confirmed(near.where(close).select("a", "b"), "star")
-    found = materialise(components(links), "components")
+    best = members.select("id", "key").join(pivots.join(met.select(F.col("id").alias("pivot"), F.col("met").alias("rank")), "pivot"), "key").where("id <> pivot")
+    near = best.groupBy("id").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "pivot")).alias("p")).select(F.col("p.pivot").alias("a"), F.col("id").alias("b"))
+    near = near.join(sized.select(F.col("id").alias("a"), F.struct("n", *_SIGNS).alias("l")), "a").join(sized.select(F.col("id").alias("b"), F.struct("n", *_SIGNS).alias("r")), "b")
+    links = confirmed(near.where(_close(percent)).select("a", "b"), "star")
+    found = components(links)
 
     placed = members.select("id", "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(placed.join(mixed, "key", "left_semi").join(sized, "id"), "mixed")
-    left = rest.select(F.col("key").alias("lk"), F.struct("id", "component", "n", *signs).alias("l"))
-    right = rest.select(F.col("key").alias("rk"), F.struct("id", "component", "n", *signs).alias("r"))
-    cross = left.join(right, (F.col("lk") == F.col("rk")) & (F.col("l.component") < F.col("r.component")) & close)
-    tried = cross.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    more = confirmed(tried, "cross")
+    rest = materialise(placed.join(mixed, "key", "left_semi"), "mixed")
+    fine = materialise(_fine(_rows_of(base, rest.select(F.col("id").alias("a"), F.col("id").alias("b"))), size).dropDuplicates(["id"]), "fine")
+    full_rest = materialise(rest.join(sized.join(fine, "id"), "id").select("key", F.struct("id", "component", "n", *_SIGNS, *_FINE).alias("l")), "compared")
+    right = full_rest.select(F.col("key").alias("rk"), F.col("l").alias("r"))
+    cross = full_rest.join(right, (F.col("key") == F.col("rk")) & (F.col("l.component") < F.col("r.component")) & _close(percent) & _fine_close() & _first_key(F.col("key")))
+    more = confirmed(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")), "cross")
     if more.limit(1).count():
-        found = materialise(components(links.unionByName(more)), "components")
+        found = components(links.unionByName(more))
     labelled = classes.select("same", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "same").join(labelled, "same", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def _rows_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that pairs name."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return base.join(ids, "doc_id", "left_semi")

@@ -1,0 +1,6 @@
+"""The registered queries: all over whole tables."""
+
+from cinelake.plans import relational, release, search, text, vectors
+from cinelake.plans._base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "relational", "release", "search", "text", "vectors"]

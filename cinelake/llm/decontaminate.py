@@ -95,7 +95,7 @@ class FMIndex:
         starts[np.concatenate(([0], ends[:-1] + 1))] = True
         marked = starts[order] | (order % sample == 0)
         self.samples = np.where(marked, order, -1)
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(self.bwt, minlength=int(self.text.max()) + 2))))
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(self.bwt, minlength=int(self.text.max()) + 1))))
         self.levels = []
         rest = self.bwt
         for bit in reversed(range(max(1, int(self.text.max()).bit_length()))):

@@ -5,8 +5,8 @@ A message's text may hold marks: <tool_call>{"id", "name", "arguments"}</tool_ca
 tools. Every message gives one row for its plain text and one for each mark.
 
 Calls and results meet in a hash join on (conversation, identifier); the first call of an identifier owns it. A result
-comes after its call, and a call after the results that its arguments name as {"$ref": identifier}: places are raised
-along these edges until nothing changes, so the order is topological and otherwise that of the messages. Arguments are validated against
+comes after its call, and a call after the results that its arguments name as {"$ref": identifier}: rows are placed once
+all before them are, so the order is topological and otherwise that of the messages. Arguments are validated against
 the schema joined on (conversation, name), else against the given registry.
 
 All is done with rows, joins and aggregations with partial sums: no conversation is gathered in one task, however long. Rows of conversations
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from ._util import column, materialise
 
 _MARK = re.compile(r"<(tool_call|tool_result|tools)>(.*?)</\1>", re.S)
-ROUNDS = 64
 
 _FIELDS = [("conv_id", pa.int64()), ("turn", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("kind", pa.string()), ("call_id", pa.string()), ("name", pa.string()), ("body", pa.string()), ("needs", pa.list_(pa.string()))]
 SCHEMA = "conv_id long, turn long, seq long, role string, kind string, call_id string, name string, body string, needs array<string>"
@@ -194,7 +193,7 @@ def _written(df: DataFrame, registry: dict[str, object]) -> DataFrame:
     return df.mapInArrow(scan, "conv_id long, turn long, seq long, kind string, call_id string, status string, valid boolean, problems array<string>, at_turn long, level long, json string")
 
 
-def link(messages: DataFrame, registry: dict[str, object] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def link(messages: DataFrame, registry: dict[str, object] | None = None) -> DataFrame:
     """Rows in topological order by (conv_id, at_turn, level, seq): kind, status, validity and canonical JSON of each."""
     found = events(messages)
     plain = found.where("kind IN ('message', 'broken')").select("*", F.lit(None).cast("string").alias("schema"), F.when(F.col("kind") == "broken", "broken").otherwise("message").alias("status"), F.col("turn").alias("at_turn"), F.lit(0).cast("long").alias("level"))
@@ -218,20 +217,22 @@ def link(messages: DataFrame, registry: dict[str, object] | None = None, rounds:
     call = linked.where("kind = 'call' AND status <> 'repeated'")
     edges = materialise(call.select("conv_id", F.concat(F.lit("c"), "call_id").alias("node"), F.explode("needs").alias("n")).select("conv_id", F.concat(F.lit("r"), "n").alias("before"), "node").unionByName(call.select("conv_id", F.concat(F.lit("c"), "call_id").alias("before"), F.concat(F.lit("r"), "call_id").alias("node"))).distinct(), "edges")
     nodes = linked.where("status IN ('linked', 'no_result')").groupBy("conv_id", F.concat(F.when(F.col("kind") == "call", "c").otherwise("r"), "call_id").alias("node")).agg(F.min(F.struct("turn", F.lit(0).cast("long").alias("level"))).alias("own"))
-    nodes = materialise(nodes.select("conv_id", "node", "own", F.col("own").alias("at")), "nodes")
-    for i in range(rounds):
-        raised = nodes.select("conv_id", F.col("node").alias("before"), "at").join(edges, ["conv_id", "before"]).groupBy("conv_id", "node").agg(F.max("at").alias("least"))
+    nodes = materialise(nodes.select("conv_id", "node", "own", F.lit(None).cast(nodes.schema["own"].dataType).alias("at")), "nodes")
+    step = 0
+    while True:  # a node is placed once all nodes before it are; the longest chain of references bounds the rounds
+        before = nodes.select("conv_id", F.col("node").alias("before"), "at").join(edges, ["conv_id", "before"])
+        before = before.groupBy("conv_id", "node").agg(F.max("at").alias("least"), F.max(F.col("at").isNull()).alias("blocked"))
         above = F.struct(F.col("least.turn").alias("turn"), (F.col("least.level") + 1).alias("level"))
-        after = nodes.join(raised, ["conv_id", "node"], "left").select("conv_id", "node", "own", F.col("at").alias("was"), F.when(F.col("least").isNotNull() & (above > F.col("at")), above).otherwise(F.col("at")).alias("at"))
-        after = materialise(after, f"nodes{i}")
-        moved = after.where("was <> at").select("conv_id", "node")
-        nodes = after.drop("was")
-        if not moved.limit(1).count():
-            moved = None
+        place = F.when(F.col("least").isNotNull() & (above > F.col("own")), above).otherwise(F.col("own"))
+        free = F.col("at").isNull() & ~F.coalesce("blocked", F.lit(False))
+        after = materialise(nodes.join(before, ["conv_id", "node"], "left").select("conv_id", "node", "own", F.when(free, place).otherwise(F.col("at")).alias("at"), free.alias("fresh")), f"nodes{step}")
+        nodes, step = after.drop("fresh"), step + 1
+        if not after.where("fresh").limit(1).count():
             break
-    placed = linked.withColumn("node", F.concat(F.when(F.col("kind") == "call", "c").when(F.col("kind") == "result", "r"), "call_id")).join(nodes.select("conv_id", "node", "at"), ["conv_id", "node"], "left")
-    if moved is not None:  # what still moves lies on a cycle, or after one
-        placed = placed.join(moved.withColumn("turning", F.lit(True)), ["conv_id", "node"], "left").withColumn("status", F.when("turning", "cycle").otherwise(F.col("status")))
+    # What could not be placed lies on a cycle of references, or after one: it keeps its own place.
+    nodes = nodes.select("conv_id", "node", F.coalesce("at", "own").alias("at"), F.col("at").isNull().alias("turning"))
+    placed = linked.withColumn("node", F.concat(F.when(F.col("kind") == "call", "c").when(F.col("kind") == "result", "r"), "call_id")).join(nodes, ["conv_id", "node"], "left")
+    placed = placed.withColumn("status", F.when(F.col("turning") & F.col("status").isin("linked", "no_result"), "cycle").otherwise(F.col("status")))
     own = F.col("status").isin("linked", "no_result")
     ordered = placed.select(
         *plain.columns[:-2],

@@ -15,7 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 

@@ -56,7 +56,7 @@ class Store:
 def apply_day(store: Store, day: str, pages: DataFrame, recognise: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> bool:
     """Applies one day's pages; a day that was applied before is left alone, an earlier one is refused.
 
-    recognise: pages -> (claims, links), both with page_id."""
+    recognise: pages (id, ns, title, text) -> claims (page_id, ...) and links (from_id, field, target)."""
     done = store.state().get("incr_through", "")
     if day == done:
         return False
@@ -66,7 +66,7 @@ def apply_day(store: Store, day: str, pages: DataFrame, recognise: Callable[[Dat
     if not held.limit(1).count():
         raise ValueError("the store is empty: import a full dump first")
     claims, found_links = recognise(pages)
-    touched, claims = known_pages(held, pages, claims, "page_id")
+    touched, claims = known_pages(held, pages.select(F.col("id").alias("page_id")), claims, "page_id")
     new_links = replace(links.withColumnRenamed("from_id", "page_id"), touched, found_links.withColumnRenamed("from_id", "page_id"), "page_id").withColumnRenamed("page_id", "from_id")
     store.commit({"claims": replace(held, touched, claims, "page_id"), "links": new_links}, day, incr_through=day)
     return True

@@ -48,3 +48,24 @@ def find_dumps(spark: SparkSession, folder: str) -> dict[str, str]:
     if missing := [k for k, p in found.items() if p is None]:
         raise FileNotFoundError(f"{folder} lacks {', '.join(f'{k} (*{DUMPS[k][0]})' for k in missing)}")
     return found
+
+
+def size(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its place and renames it, so that it is there whole or not at all."""
+    fs, p = _fs(spark, path)
+    beside = p.suffix(".partial")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(beside, p)

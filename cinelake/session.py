@@ -15,7 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
-BATCH_ROWS = 1000
+BATCH_ROWS = 512
 _shipped: set[str] = set()
 
 
@@ -30,8 +30,9 @@ def session(app: str = "cinelake", **settings: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Once for each application, hands the package to the executors' Python workers.
 
-    Rows of text go to Python in batches of BATCH_ROWS, which bounds what either side holds."""
+    Rows of text are read and go to Python in batches of BATCH_ROWS, which bounds what either side holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

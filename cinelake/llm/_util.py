@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -28,10 +30,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/cinelake/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no rerun."""
+def materialise(df: DataFrame, tag: str, compression: str = "snappy", share: int = 0) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no rerun.
+
+    With a share only every so many shuffle partitions get a file: for tables that are a small part of the input."""
+    if share:
+        df = df.coalesce(max(12, input_partitions(df.sparkSession) // share))
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +54,28 @@ def input_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Hands freed memory back to the system: a worker process outlives its task, and others need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(scan):
+    """A task's function that trims when it ends."""
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int):
     """Parts of a batch of about limit bytes of text each; a longer text is a part of its own."""
     lengths = [0 if v is None else len(v) for v in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import DOC_COLUMNS, column, slices
+from ._util import DOC_COLUMNS, column, slices, trimmed
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_WORDS = 2_000_000
 SAMPLE = 8
 #: Runs are cut to this many words, each piece overlapping the next by the longest phrase.
@@ -237,11 +237,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byte
         parts.append(scan)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if len(parts) == 1:
-        return base.mapInArrow(parts[0], SCHEMA)
+        return base.mapInArrow(trimmed(parts[0]), SCHEMA)
     base = base.withColumn("row", F.monotonically_increasing_id())
     all_parts = None
     for scan in parts:
-        one = base.mapInArrow(scan, SCHEMA + ", row long")
+        one = base.mapInArrow(trimmed(scan), SCHEMA + ", row long")
         all_parts = one if all_parts is None else all_parts.unionByName(one)
 
     def join(batches):
@@ -256,7 +256,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byte
     grouped = all_parts.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
     )
-    return grouped.drop("row").mapInArrow(join, SCHEMA)
+    return grouped.drop("row").mapInArrow(trimmed(join), SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -300,4 +300,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
                     data["n_chars"][i] = len(texts[i])
                 yield pa.RecordBatch.from_pydict({c: [x for x, k in zip(data[c], keep) if k] for c in DOC_COLUMNS}, schema=pa.schema([(c, pa.int64() if c in ("doc_id", "n_chars") else pa.string()) for c in DOC_COLUMNS]))
 
-    return docs.select(*cols).mapInArrow(scan, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select(*cols).mapInArrow(trimmed(scan), "doc_id long, text string, lang string, source string, n_chars long")

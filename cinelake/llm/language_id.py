@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import column, slices
+from ._util import column, slices, trimmed
 
 TRAIN_DOCS = 600
 SEGMENTS, SEGMENT_WORDS = 4, 24
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
                     rows.append(words[i : i + SEGMENT_WORDS])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.list_(pa.binary()))], names=["lang", "words"])
 
-    sample = base.where(place <= F.element_at(borders, F.col("lang"))).mapInArrow(segments, "lang string, words array<binary>").toArrow()
+    sample = base.where(place <= F.element_at(borders, F.col("lang"))).mapInArrow(trimmed(segments), "lang string, words array<binary>").toArrow()
     number = {x: i for i, x in enumerate(languages)}
     found = sorted(((number[x], w) for x, w in zip(sample["lang"].to_pylist(), sample["words"].to_pylist())), key=lambda r: (r[0], r[1]))
     return train(languages, found)
@@ -272,7 +272,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     [part.column(part.schema.get_field_index("doc_id")), pa.array(langs, pa.string()), pa.array(score), pa.array(np.round(total).astype(np.int64)), pa.array(second)], names=["doc_id", "lang_pred", "score", "n_words", "second_share"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, lang_pred string, score double, n_words long, second_share double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(scan), "doc_id long, lang_pred string, score double, n_words long, second_share double")
 
 
 def remainder(mod: int) -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import column, materialise, slices
+from ._util import column, input_partitions, materialise, slices, trimmed
 
 CHUNKS, WIDTH, BITS, ERRORS = 10, 5, 11, 1
 LANE = BITS + 1  # a spare bit for each place takes the carry
@@ -99,7 +99,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 data = [part.column(part.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), *(pa.array(packed[:, i]) for i in range(CHUNKS))]
                 yield pa.RecordBatch.from_arrays(data, schema=pa.schema(_FIELDS))
 
-    return docs.mapInArrow(scan, _SCHEMA)
+    return docs.mapInArrow(trimmed(scan), _SCHEMA)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = [shingles(t, size).view(np.int64) for t in column(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(sets, pa.list_(pa.int64()))], schema=pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))]))
 
-    return docs.mapInArrow(scan, "id long, set array<long>")
+    return docs.mapInArrow(trimmed(scan), "id long, set array<long>")
 
 
 def _fine(docs: DataFrame, size: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _fine(docs: DataFrame, size: int) -> DataFrame:
                     ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(full))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(FINE_LONGS))], schema=schema)
 
-    return docs.mapInArrow(scan, "id long, " + ", ".join(f"{f} long" for f in _FINE))
+    return docs.mapInArrow(trimmed(scan), "id long, " + ", ".join(f"{f} long" for f in _FINE))
 
 
 def _keys() -> Column:
@@ -182,7 +182,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges(a, b); component: the smallest node reachable.
 
     Alternating large-star and small-star steps; each round is written to the shared folder."""
-    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", share=8)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -190,7 +190,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = materialise(small, "edges")
+        after = materialise(small, "edges", share=8)
         stars = after.groupBy("u").count().where("count > 1").limit(1).count() == 0 and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0
         edges = after
         if stars:
@@ -207,23 +207,24 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(_signed(base, size), "signed")
     full = signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialise(full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in _SIGNS)), "classes")
-    keyed = classes.select("id", _keys().alias("key"))
+    classes = materialise(full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in _SIGNS)), "classes", share=4)
+    # Fifty keys a class, nearly all of them different: small partitions keep the maps of partial sums small.
+    keyed = classes.repartition(max(12, input_partitions(docs.sparkSession)), "id").select("id", _keys().alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("met")).where("first <> last")
-    members = materialise(keyed.join(shared.select("key", "met"), "key"), "members")
+    members = materialise(keyed.join(shared.select("key", "met"), "key"), "members", share=4)
     sized = classes.select("id", "n", *_SIGNS)
     met = members.groupBy("id").agg(F.sum("met").alias("met"))
     pivots = members.select("id", "key").join(met, "id").groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("met"), "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        pairs = materialise(pairs, f"pairs-{tag}")
-        sets = materialise(_sets(_rows_of(base, pairs), size), f"sets-{tag}")
+        pairs = materialise(pairs, f"pairs-{tag}", share=4)
+        sets = materialise(_sets(_rows_of(base, pairs), size), f"sets-{tag}", share=8)
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         joined = pairs.join(left, "a").join(right, "b")
-        return materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), f"links-{tag}")
+        return materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), f"links-{tag}", share=8)
 
     best = members.select("id", "key").join(pivots.join(met.select(F.col("id").alias("pivot"), F.col("met").alias("rank")), "pivot"), "key").where("id <> pivot")
     near = best.groupBy("id").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "pivot")).alias("p")).select(F.col("p.pivot").alias("a"), F.col("id").alias("b"))
@@ -233,9 +234,9 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
 
     placed = members.select("id", "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(placed.join(mixed, "key", "left_semi"), "mixed")
-    fine = materialise(_fine(_rows_of(base, rest.select(F.col("id").alias("a"), F.col("id").alias("b"))), size).dropDuplicates(["id"]), "fine")
-    full_rest = materialise(rest.join(sized.join(fine, "id"), "id").select("key", F.struct("id", "component", "n", *_SIGNS, *_FINE).alias("l")), "compared")
+    rest = materialise(placed.join(mixed, "key", "left_semi"), "mixed", share=8)
+    fine = materialise(_fine(_rows_of(base, rest.select(F.col("id").alias("a"), F.col("id").alias("b"))), size).dropDuplicates(["id"]), "fine", share=8)
+    full_rest = materialise(rest.join(sized.join(fine, "id"), "id").select("key", F.struct("id", "component", "n", *_SIGNS, *_FINE).alias("l")), "compared", share=8)
     right = full_rest.select(F.col("key").alias("rk"), F.col("l").alias("r"))
     cross = full_rest.join(right, (F.col("key") == F.col("rk")) & (F.col("l.component") < F.col("r.component")) & _close(percent) & _fine_close() & _first_key(F.col("key")))
     more = confirmed(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")), "cross")

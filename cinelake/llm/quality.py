@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import DOC_COLUMNS, column, slices
+from ._util import DOC_COLUMNS, column, slices, trimmed
 
 TRAIN_ROWS = 4000
 SHAPES = 2048
@@ -125,7 +125,7 @@ _shapes: dict[bytes, int] = {}
 
 def _shape(word: bytes) -> int:
     """Hash of a word's shape: letters and digits folded, runs cut."""
-    if len(_shapes) > 300_000:
+    if len(_shapes) > 150_000:
         _shapes.clear()
     found = _shapes.get(word)
     if found is None:
@@ -147,6 +147,16 @@ def features(found: np.ndarray, words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _forgetting(scan):
+    """A task's function that leaves no words behind in its worker."""
+
+    def run(batches):
+        yield from scan(batches)
+        _shapes.clear()
+
+    return trimmed(run)
+
+
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels, by accelerated gradient steps scaled for each dimension."""
     w, past, scale = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
@@ -172,7 +182,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np.n
                         out[p] = out.get(p, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["pattern", "n"])
 
-    counts = {r.pattern: r.n for r in base.mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.pattern: r.n for r in base.mapInArrow(_forgetting(patterns), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     model = LabelModel(counts)
     # The documents with the lowest hashes: a threshold keeps about four times as many, then the least are taken.
     total = sum(counts.values())
@@ -187,7 +197,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np.n
                 made = [(f, w) for f, w in made if w]
                 yield pa.RecordBatch.from_arrays([pa.array([pattern_of(votes(f, len(w))) for f, w in made], pa.int64()), pa.array([features(f, w).astype(np.float16).tobytes() for f, w in made], pa.binary())], names=["pattern", "features"])
 
-    sample = chosen.mapInArrow(rows, "pattern long, features binary").toArrow()
+    sample = chosen.mapInArrow(_forgetting(rows), "pattern long, features binary").toArrow()
     if not sample.num_rows:
         return model, np.zeros(DIMENSIONS, np.float32)
     x = np.frombuffer(b"".join(sample["features"].to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
@@ -214,7 +224,7 @@ def score(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
                 marks = ["".join("-+ "[x] for x in row) for row in v.tolist()]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(scores), pa.array(posteriors), pa.array(marks, pa.string()), pa.array(scores >= 0.5)], names=["doc_id", "score", "posterior", "votes", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, score double, posterior double, votes string, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_forgetting(scan), "doc_id long, score double, posterior double, votes string, kept boolean")
 
 
 def keep(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -227,4 +237,4 @@ def keep(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 yield part.filter(pa.array(_judge(column(part, "text"), *sent.value)[0] >= 0.5))
 
-    return docs.mapInArrow(scan, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.mapInArrow(_forgetting(scan), "doc_id long, text string, lang string, source string, n_chars long")

@@ -89,5 +89,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int):
         yield batch.slice(start)
 
 
+def shards(batches, name: str, limit: int):
+    """Batches put together, or cut, to about limit bytes of text each."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, name, limit):
+            if held and size + part.nbytes > limit:
+                yield _joined(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

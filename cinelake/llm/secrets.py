@@ -25,7 +25,8 @@ from ._util import DOC_COLUMNS, materialise, text_or_empty
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])(?=[0-9_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{28,}"
+TOKEN = r"[A-Za-z0-9_-]{28,}"
+MIXED = ("[0-9]", "[A-Za-z]")  # what an owned token has, wherever
 KINDS = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16), "owned": (TOKEN, 0, 28)}
 BASE = ("assign", "access", "hex")
 
@@ -48,6 +49,8 @@ def _spans(kind: str, found: Column, values: Column, text: Column) -> Column:
 
     all_of = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
     kept = F.filter(all_of, lambda s: F.length(s["value"]) >= least)
+    if kind == "owned":
+        kept = F.filter(kept, lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]))
     hashed = F.transform(kept, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"], F.sha2(s["value"], 256).alias("hash")))
     none = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string,hash:string>>)")
     return F.when(F.size(found) > 0, hashed).otherwise(none)

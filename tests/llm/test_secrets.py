@@ -69,3 +69,10 @@ def test_copied_values_are_examples(shipped):
 def test_plan_is_native(make, sample):
     plan = secrets.digest(secrets.scan(sample))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_digit_or_letter_may_come_late(make):
+    texts = {1: "k" * 70 + "7" + "q" * 5, 2: "7" * 70 + "k", 3: "k" * 90, 4: "x " + "k" * 300 + "7 y"}
+    rows = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(make(list(texts.items())))).collect()}
+    assert rows[1] == "owned:0:76" and rows[3] == "" and rows[4] == "owned:2:303"
+    assert "owned:0:71" in rows[2] or rows[2].startswith("hex:0:70")

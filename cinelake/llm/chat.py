@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,18 +96,52 @@ def _is(value: object, kind: str) -> bool:
     return isinstance(value, _TYPES[kind]) if kind in _TYPES else True
 
 
-def problems(value: object, schema: object, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema (types, enums, bounds, lengths, patterns, properties, items, combinations)."""
+#: Keywords that constrain values but aren't checked here; a schema that has one can't be answered for.
+_UNCHECKED = ("$dynamicRef", "$recursiveRef", "additionalItems", "unevaluatedItems", "unevaluatedProperties")
+
+
+def _same_key(value: object) -> object:
+    """Equal for values that JSON Schema takes as equal: 1 is 1.0, but not true."""
+    if isinstance(value, dict):
+        return ("object", frozenset((k, _same_key(v)) for k, v in value.items()))
+    return ("array", tuple(map(_same_key, value))) if isinstance(value, list) else (isinstance(value, bool), value)
+
+
+def _target(root: object, ref: str) -> object:
+    """What a local reference (JSON pointer) names."""
+    if ref != "#" and not ref.startswith("#/"):
+        raise LookupError(ref)
+    for part in unquote(ref[1:]).split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        root = root[int(part)] if isinstance(root, list) and part.isdecimal() else root[part]
+    return root
+
+
+def problems(value: object, schema: object, at: str = "$", root: object = None, met: tuple[str, ...] = ()) -> list[str]:
+    """Where a value breaks a JSON schema: all of draft 2020-12 but format and other annotations; a keyword of _UNCHECKED
+    and a reference that isn't local are problems themselves. root: the whole schema; met: references followed for this value."""
     if schema is True or not isinstance(schema, dict):
         return [f"{at}: nothing is allowed"] if schema is False else []
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return []  # another call's result, not known here
-    out = []
+    root = schema if root is None else root
+    deeper = lambda v, s, a: problems(v, s, a, root)
+    here = lambda s: problems(value, s, at, root, met)
+    unsure = lambda *found: list(dict.fromkeys(p for f in found for p in f if ": unsupported " in p))
+    known = not _references(value)  # what results will bring decides no negation
+    out = [f"{at}: unsupported keyword {k}" for k in _UNCHECKED if k in schema]
+    if "$ref" in schema:
+        ref = schema["$ref"]
+        try:
+            target = _target(root, ref)
+            out += [f"{at}: {ref} names itself"] if ref in met else problems(value, target, at, root, (*met, ref))
+        except (LookupError, ValueError, TypeError, AttributeError):
+            out.append(f"{at}: unsupported $ref {ref}")
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: is not {' or '.join(kinds)}"]
-    same = lambda a, b: type(a) is type(b) and a == b or _is(a, "number") and _is(b, "number") and a == b
+    same = lambda a, b: _same_key(a) == _same_key(b)
     if "enum" in schema and not any(same(value, e) for e in schema["enum"]):
         out.append(f"{at}: is none of the enum")
     if "const" in schema and not same(value, schema["const"]):
@@ -122,21 +157,48 @@ def problems(value: object, schema: object, at: str = "$") -> list[str]:
     if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
         out.append(f"{at}: pattern")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        named, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}.{k}: is missing" for k in schema.get("required", ()) if k not in value]
         for k, v in value.items():
-            if k in known:
-                out += problems(v, known[k], f"{at}.{k}")
-            elif "additionalProperties" in schema:
-                out += problems(v, schema["additionalProperties"], f"{at}.{k}")
+            fitting = [s for p, s in patterns.items() if re.search(p, k)]
+            for s in ([named[k]] if k in named else []) + fitting:
+                out += deeper(v, s, f"{at}.{k}")
+            if k not in named and not fitting and "additionalProperties" in schema:
+                out += deeper(v, schema["additionalProperties"], f"{at}.{k}")
+            if "propertyNames" in schema:
+                out += deeper(k, schema["propertyNames"], f"{at}.{k} (name)")
+        dependent = schema.get("dependencies", {}) | schema.get("dependentRequired", {})
+        for k, needs in [*dependent.items(), *schema.get("dependentSchemas", {}).items()]:
+            if k in value:
+                out += [f"{at}.{n}: is missing" for n in needs if n not in value] if isinstance(needs, list) else here(needs)
     if isinstance(value, list):
+        each = schema.get("items", True)
+        heads = each if isinstance(each, list) else schema.get("prefixItems", ())
         for i, v in enumerate(value):
-            out += problems(v, schema.get("items", True), f"{at}[{i}]")
+            out += deeper(v, heads[i] if i < len(heads) else True if isinstance(each, list) else each, f"{at}[{i}]")
+        if schema.get("uniqueItems") and len(set(map(_same_key, value))) < len(value):
+            out.append(f"{at}: uniqueItems")
+        if "contains" in schema:
+            found = [deeper(v, schema["contains"], at) for v in value]
+            out += unsure(*found)
+            n = found.count([])
+            if n < schema.get("minContains", 1) or known and n > schema.get("maxContains", n):
+                out.append(f"{at}: contains")
     for s in schema.get("allOf", ()):
-        out += problems(value, s, at)
-    for key, good in (("anyOf", lambda n: n >= 1), ("oneOf", lambda n: n == 1)):
-        if key in schema and not good(sum(not problems(value, s, at) for s in schema[key])):
-            out.append(f"{at}: {key}")
+        out += here(s)
+    if "if" in schema and known:
+        found = here(schema["if"])
+        out += unsure(found) + here(schema.get("else" if found else "then", True))
+    if "not" in schema and known:
+        found = here(schema["not"])
+        out += unsure(found) if found else [f"{at}: not"]
+    for key, good in (("anyOf", lambda n: n >= 1), ("oneOf", lambda n: n == 1 or n > 1 and not known)):
+        if key in schema:
+            found = [here(s) for s in schema[key]]
+            if key == "oneOf" or not good(found.count([])):
+                out += unsure(*found)
+            if not good(found.count([])):
+                out.append(f"{at}: {key}")
     return out
 
 
@@ -176,7 +238,7 @@ def _written(df: DataFrame, registry: dict[str, object]) -> DataFrame:
                     schema = json.loads(row["schema"]) if row["schema"] is not None else registry.get(row["name"])
                     try:
                         found = ["$: the tool has no schema"] if schema is None else problems(arguments, schema)
-                    except (re.error, TypeError, KeyError, AttributeError) as e:
+                    except (re.error, TypeError, KeyError, AttributeError, RecursionError) as e:
                         found = [f"$: the schema can't be used ({type(e).__name__})"]
                     valid = not found
                     body |= {"tool_call": {"id": row["call_id"], "name": row["name"], "arguments": arguments}}

@@ -80,3 +80,27 @@ def test_schemas():
     good = [{}, {"k": 1}, {"n": None}, {"n": 5.0}, {"l": ["x", "xy"]}, {"o": "a"}]
     bad = [[], {"k": True}, {"k": "b"}, {"n": 6}, {"n": "1"}, {"l": ["y"]}, {"l": ["x"] * 3}, {"o": "ab"}]
     assert all(not chat.problems(v, schema) for v in good) and all(chat.problems(v, schema) for v in bad)
+
+
+def test_further_keywords():
+    pair = {"$defs": {"p": {"type": "object", "properties": {"x": {"type": "integer"}, "next": {"$ref": "#/$defs/p"}}}}, "properties": {"a": {"$ref": "#/$defs/p"}}}
+    cases = [
+        (pair, {"a": {"x": 1, "next": {"x": 2}}}, {"a": {"next": {"x": "2"}}}),
+        ({"not": {"type": "string"}}, 1, "a"),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, {"a": 1, "b": 2}, {"a": 1, "c": 2}),
+        ({"patternProperties": {"^n": {"type": "integer"}}, "additionalProperties": False}, {"n1": 1}, {"n1": "1"}),
+        ({"patternProperties": {"^n": True}, "additionalProperties": False}, {"n": 1}, {"m": 1}),
+        ({"propertyNames": {"maxLength": 2}}, {"ab": 1}, {"abc": 1}),
+        ({"uniqueItems": True}, [1, True, "1", [1]], [{"a": 1}, {"a": 1.0}]),
+        ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, ["a", 1], ["a", "b"]),
+        ({"contains": {"const": 3}, "maxContains": 1}, [1, 3], [3, 3]),
+        ({"contains": {"const": 3}}, [3, 3], [1]),
+        ({"dependentRequired": {"a": ["b"]}}, {"a": 1, "b": 1}, {"a": 1}),
+        ({"dependentSchemas": {"a": {"maxProperties": 1}}}, {"b": 1, "c": 1}, {"a": 1, "b": 1}),
+    ]
+    for schema, good, bad in cases:
+        assert chat.problems(good, schema) == [] and chat.problems(bad, schema), schema
+    assert chat.problems({}, {"unevaluatedProperties": False}) == ["$: unsupported keyword unevaluatedProperties"]
+    assert chat.problems({}, {"not": {"unevaluatedProperties": False}}) == ["$: unsupported keyword unevaluatedProperties"]
+    assert chat.problems(1, {"$ref": "https://example.org/x"}) == ["$: unsupported $ref https://example.org/x"]
+    assert chat.problems(1, {"$ref": "#"}) == ["$: # names itself"]

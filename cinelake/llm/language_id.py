@@ -27,9 +27,11 @@ from ._util import column, slices, trimmed
 
 TRAIN_DOCS = 600
 SEGMENTS, SEGMENT_WORDS = 4, 24
-MAX_LANGUAGES = 64
+LEXICON_PLACES = 64  # or one for each language, where there are more
 BUCKETS = 1 << 15
-SLOTS = 28  # features of a word at most
+PIECE = 40  # bytes of a long token that are labelled as one
+LONG = 26  # a token of fewer bytes stays below PIECE in lower case
+CUT = b"\xff"  # occurs in no text
 LEXICON_WORDS = 20_000
 LINE_WORDS = 64
 SLICE = 4 << 20
@@ -47,16 +49,27 @@ def has_letter(word: bytes) -> bool:
     return any(c.isalpha() for c in word.decode()) if not word.isascii() else not word.isdigit() and any(65 <= c <= 90 or 97 <= c <= 122 for c in word)
 
 
-def features(word: bytes, lexicon: dict[bytes, list[int]]) -> list[int]:
-    """Places of a word's weights; the first MAX_LANGUAGES are the lexicons'."""
-    edged = b"<" + word[:40] + b">"
+def pieces(token: bytes) -> list[bytes]:
+    """A token in lower case, or a long one's parts in a row, each two bytes into the next; CUT stands where a part was cut."""
+    word = normal(token)
+    if len(word) <= PIECE:
+        return [token]
+    if not has_letter(word):
+        return []
+    starts = range(0, len(word) - 2, PIECE - 2)
+    return [CUT * (i > 0) + word[i : i + PIECE] + CUT * (i + PIECE < len(word)) for i in starts]
+
+
+def features(word: bytes, lexicon: dict[bytes, list[int]], places: int = LEXICON_PLACES) -> list[int]:
+    """Places of a word's weights; the first ones are the lexicons'. Affixes are those of the whole token."""
+    edged = (b"" if word.startswith(CUT) else b"<") + word.strip(CUT) + (b"" if word.endswith(CUT) else b">")
     keys = [b"w" + word]
-    keys += [b"p" + edged[:n] for n in (2, 3, 4, 5) if n < len(edged)]
-    keys += [b"s" + edged[-n:] for n in (2, 3, 4, 5) if n < len(edged)]
-    n = SLOTS - len(keys) - 3
-    grams = [edged[i : i + 3] for i in range(len(edged) - 2)]
-    keys += grams if len(grams) <= n else grams[: n // 2] + grams[-(n - n // 2) :]
-    return [1 + MAX_LANGUAGES + zlib.crc32(k) % (BUCKETS - MAX_LANGUAGES - 1) for k in keys] + [1 + x for x in lexicon.get(word, ())[:3]]
+    if not word.startswith(CUT):
+        keys += [b"p" + edged[:n] for n in (2, 3, 4, 5) if n < len(edged)]
+    if not word.endswith(CUT):
+        keys += [b"s" + edged[-n:] for n in (2, 3, 4, 5) if n < len(edged)]
+    keys += [edged[i : i + 3] for i in range(len(edged) - 2)]
+    return [1 + places + zlib.crc32(k) % (BUCKETS - places - 1) for k in keys] + [1 + x for x in lexicon.get(word, ())[:3]]
 
 
 class Model:
@@ -65,14 +78,15 @@ class Model:
     def __init__(self, languages: list[str], lexicon: dict[bytes, list[int]]):
         self.languages, self.lexicon = languages, lexicon
         n = len(languages)
+        self.places = max(LEXICON_PLACES, n)
         self.weights = np.zeros((BUCKETS, n), np.float32)
         self.steps = np.zeros((n, n), np.float32)
         self.start = np.zeros(n, np.float32)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), SLOTS), np.int32)
-        for i, w in enumerate(words):
-            f = features(w, self.lexicon)[:SLOTS]
+        found = [features(w, self.lexicon, self.places) for w in words]
+        out = np.zeros((len(words), max(map(len, found), default=0)), np.int32)
+        for i, f in enumerate(found):
             out[i, : len(f)] = f
         return out
 
@@ -133,14 +147,14 @@ def train(languages: list[str], segments: list[tuple[int, list[bytes]]], rounds:
             lengths = np.array([len(w) for w, _ in part])
             t = int(lengths[0])
             inside = np.arange(t) < lengths[:, None]
-            f = np.zeros((len(part), t, SLOTS), np.int32)
+            f = np.zeros((len(part), t, rows.shape[1]), np.int32)
             y = np.zeros((len(part), t), np.int64)
             f[inside] = rows[np.concatenate([w for w, _ in part])]
             y[inside] = np.concatenate([v for _, v in part])
             p, moves = forward_backward(model.weights[f].sum(axis=2), lengths, model.start, model.steps)
             gap = (np.eye(n, dtype=np.float32)[y] - p) * inside[:, :, None]
             flat = f[inside].ravel()
-            slope = np.stack([np.bincount(flat, np.repeat(gap[inside][:, j], SLOTS), minlength=BUCKETS) for j in range(n)], axis=1)
+            slope = np.stack([np.bincount(flat, np.repeat(gap[inside][:, j], rows.shape[1]), minlength=BUCKETS) for j in range(n)], axis=1)
             slope[0] = 0
             seen = np.zeros((n, n))
             np.add.at(seen, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), 1)
@@ -157,7 +171,7 @@ def _lines(raw: bytes) -> list[list[bytes]]:
     """The tokens of each line, long lines cut."""
     out = []
     for line in raw.split(b"\n"):
-        tokens = line.split()
+        tokens = [p for t in line.split() for p in (pieces(t) if len(t) > LONG else (t,))]
         out += [tokens[i : i + LINE_WORDS] for i in range(0, len(tokens), LINE_WORDS)]
     return out
 
@@ -181,9 +195,9 @@ class Labeller:
         out = np.fromiter((get(t, -2) for t in tokens), np.int64, len(tokens))
         if (out == -2).any():
             new = list(dict.fromkeys(t for t, n in zip(tokens, out.tolist()) if n == -2))
-            words = [normal(t) for t in new]
-            full = [i for i, w in enumerate(words) if w and has_letter(w)]
-            distinct = list(dict.fromkeys(words[i] for i in full))
+            words = [t if CUT in t else normal(t) for t in new]
+            full = [i for i, w in enumerate(words) if w and (CUT in w or has_letter(w))]
+            distinct = sorted(dict.fromkeys(words[i] for i in full), key=len)  # words of one batch get as many places as its longest needs
             place = {w: i for i, w in enumerate(distinct)}
             made = np.concatenate([self.model.emissions(self.model.rows(distinct[i : i + 4096])) for i in range(0, len(distinct), 4096)]) if distinct else self.table[:0]
             base = len(self.table)
@@ -227,7 +241,7 @@ class Labeller:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learns from docs(doc_id, text, lang); rows without lang, text or id teach nothing."""
     base = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = sorted(r.lang for r in counts)
     if not languages:
         return train([], [])
@@ -238,7 +252,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         for batch in batches:
             langs, rows = [], []
             for lang, text in zip(column(batch, "lang"), column(batch, "text")):
-                words = [w for t in text.encode("utf-8", "replace").split() if (w := normal(t)) and has_letter(w)]
+                parts = [p for t in text.encode("utf-8", "replace").split() for p in (pieces(t) if len(t) > LONG else (t,))]
+                words = [w for t in parts if (w := t if CUT in t else normal(t)) and (CUT in w or has_letter(w))]
                 step = max(SEGMENT_WORDS, len(words) // SEGMENTS)
                 for i in list(range(0, len(words), step))[:SEGMENTS]:
                     langs.append(lang)

@@ -61,3 +61,28 @@ def test_code_switching():
     mass = li.Labeller(model).mass(["the thing that was", "der die das ist", "this was the thing und das ist nicht schön"])
     assert mass[0, 1] > 3 and mass[1, 0] > 3
     assert mass[2, 1] > 2.5 and mass[2, 0] > 3
+
+
+def test_all_bytes_of_long_tokens_count():
+    long = b"a" * 60 + b"xyz" + b"b" * 60
+    found = li.pieces(long)
+    grams = {x.strip(li.CUT)[i : i + 3] for x in found for i in range(len(x))}
+    assert {long[i : i + 3] for i in range(len(long) - 2)} <= grams
+    assert li.features(found[-1], {}) != li.features(li.pieces(long[:-1] + b"c")[-1], {})
+    word = b"abcdefghijklmnopqrstuvwxyz"
+    assert set(li.features(word, {})) - set(li.features(word[:12] + b"#" + word[13:], {})) > set(li.features(word, {})[:1])
+
+
+def test_text_without_spaces_is_judged_as_a_whole():
+    words = {"en": b"the thing that with from have this was".split(), "de": "der die das und nicht ist schön auch".encode().split()}
+    segments = [(i, [words[x][(j + k) % 8] for k in range(8)]) for i, x in enumerate(("de", "en")) for j in range(60)]
+    labeller = li.Labeller(li.train(["de", "en"], segments))
+    start = "\u00a0".join(["the thing that with"] * 3).replace(" ", "\u00a0")
+    rest = "\u00a0".join(["der und nicht schön das ist auch die"] * 20).replace(" ", "\u00a0")
+    mass = labeller.mass([f"{start}\u00a0{rest}"])
+    assert mass[0, 0] > mass[0, 1] and mass[0].sum() > 10
+
+
+def test_rare_languages_stay(make):
+    docs = make([(i, " ".join(f"w{i // 2}x{j}" for j in range(12))) for i in range(140)]).selectExpr("doc_id", "text", "CONCAT('l', LPAD(CAST(doc_id DIV 2 AS STRING), 2, '0')) AS lang")
+    assert len(li.fit(docs).languages) == 70

@@ -82,7 +82,7 @@ def v14_ends(t: Tables) -> DataFrame:
 @query()
 def v7_explore(t: Tables) -> DataFrame:
     """A look around, a step, and another look."""
-    walk = v.Explorer.at(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 5, neighbourhood=60)
+    walk = v.Explorer.at(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 5)
     seen = walk.view(35)
     after = walk.move("right", 35)
     rows = [("start", i, float(s), x, y) for i, s, x, y in seen.cells] + [("right", i, float(s), x, y) for i, s, x, y in after.cells]
@@ -91,7 +91,7 @@ def v7_explore(t: Tables) -> DataFrame:
 
 @query()
 def v13_poles(t: Tables) -> DataFrame:
-    near = v.similar(t.embeddings, "vec_id", "embedding", 5, 300)
+    near = v.similar(t.embeddings, "vec_id", "embedding", 5, 3000)
     found = near.join(t.embeddings, "vec_id").orderBy(F.desc("score"), "vec_id").select("vec_id", "embedding").collect()
     places = v.poles(np.array([r.embedding for r in found]), 6)
     return t.spark.createDataFrame([(i, found[p].vec_id) for i, p in enumerate(places)], "pole int, vec_id long")

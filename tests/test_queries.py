@@ -53,3 +53,20 @@ def test_plans_stay_in_the_jvm(spark):
     assert "LeftAnti" in plan and "CartesianProduct" not in plan
     plan = plans.QUERIES["ext_pricing_summary"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(l_shipdate" in plan
+
+
+def test_navigation_sees_the_surveys_neighbourhoods(spark):
+    """V13 takes the nearest 3000 (here: all 499 others), V7 the nearest min(150, n / 3)."""
+    import numpy as np
+
+    from cinelake.operators import vectors as v
+
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id", "embedding")
+    near = v.similar(rows, "vec_id", "embedding", 5, 10_000).collect()
+    assert len(near) == 499
+    vectors = dict(map(tuple, rows.collect()))
+    places = v.poles(np.array([vectors[r.vec_id] for r in near]), 6)
+    assert [r.vec_id for r in plans.QUERIES["v13_poles"](spark, FOLDER).orderBy("pole").collect()] == [near[p].vec_id for p in places]
+    view = v.Explorer.at(rows, "vec_id", "embedding", 5, neighbourhood=150).view(35)
+    found = plans.QUERIES["v7_explore"](spark, FOLDER).where("view = 'start'").collect()
+    assert {(r.vec_id, r.x, r.y) for r in found} == {(i, float(x), float(y)) for i, _, x, y in view.cells}

@@ -18,9 +18,12 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests in local mode) a folder of our own is made."""
+    Only where that is unset and driver and executors are one process (tests) a folder of our own is made; a cluster without
+    a shared folder is an error, for its executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='cinelake-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,9 +36,9 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str, compression: str = "snappy", share: int = 0) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no rerun.
 
-    With a share only every so many shuffle partitions get a file: for tables that are a small part of the input."""
+    With a share only every so many shuffle partitions get a file, after the work is done: for tables that are a small part of the input."""
     if share:
-        df = df.coalesce(max(12, input_partitions(df.sparkSession) // share))
+        df = df.repartition(max(8, input_partitions(df.sparkSession) // share))
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

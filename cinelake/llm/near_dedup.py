@@ -9,15 +9,17 @@ do. At similarity 0.8 a pair without any common key has probability below 2e-6.
 1. Documents with equal shingle sets form a class, named by its smallest doc_id; only classes go on.
 2. The pivot of a key is the class that meets most others. Each class is paired with the best pivot of its keys: one
    pair for each class, never all pairs of a group. Pairs are confirmed on full shingle sets, and confirmed links give
-   components.
-3. Keys that still hold several components compare members of different components. A pair leaves the join only
-   under the first key it has in common and only if a long sketch of FINE_PLACES minima, 2 bits of each, doesn't rule it out
-   (at similarity 0.8 that has probability below 1e-5); what leaves is confirmed as well. Large keys are split by adaptive
-   execution.
+   components. Texts are dealt out once, and only classes that share a key have their sets written.
+3. Keys that still hold several components compare members of different components, in tiles of at most TILE classes. A
+   pair leaves the join only under the first key it has in common and if its signatures are close; a long sketch of
+   FINE_PLACES minima, 2 bits of each, rules most of the distant pairs out (one at similarity 0.8 with probability below
+   1e-5), and what is left is confirmed as well.
 
 Defined results: a null or wordless text has no shingles and no links; a text of fewer words than a shingle is one
-shingle; a row with a null doc_id takes no part in linking (component_id null, kept true); rows that repeat a doc_id
-are each answered and, for linking, count as one document; an empty table gives an empty table.
+shingle; a very long text is read whole, in a slice of its own; a row with a null doc_id takes no part in linking
+(component_id null, kept true); rows that repeat a doc_id are each answered and, for linking, count as one document, which is
+linked by every text it has; where classes tie for pivot the smaller id is taken, and no tie changes a component, for its name is its
+smallest doc_id; columns besides doc_id and text are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ FAR = 23
 FINE_PLACES, FINE_FAR = 1024, 205
 FINE_LONGS = FINE_PLACES // 32
 SLICE = 4 << 20
+SKETCHED = 256  # sets sketched at once
+TILE = 1000
 
 _rng = np.random.default_rng(20240917)
 _MULTIPLY = _rng.integers(0, 2**64, FINE_PLACES, dtype=np.uint64) | np.uint64(1)
@@ -103,29 +107,32 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """docs(doc_id, text, pivot) with full shingle sets in place of texts."""
+    schema = pa.schema([("id", pa.int64()), ("pivot", pa.int64()), ("set", pa.list_(pa.int64()))])
+
     def scan(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 sets = [shingles(t, size).view(np.int64) for t in column(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(sets, pa.list_(pa.int64()))], schema=pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("doc_id", "pivot")] + [pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(trimmed(scan), "id long, set array<long>")
+    return docs.mapInArrow(trimmed(scan), "id long, pivot long, set array<long>")
 
 
-def _fine(docs: DataFrame, size: int) -> DataFrame:
+def _fine(sets: DataFrame) -> DataFrame:
+    """Long sketches of sets(id, set)."""
     schema = pa.schema([("id", pa.int64()), *((f, pa.int64()) for f in _FINE)])
 
     def scan(batches):
         for batch in batches:
-            for part in slices(batch, "text", SLICE // 4):
-                sets = [shingles(t, size) for t in column(part, "text")]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                if full:
-                    packed = _pack(signatures([sets[i] for i in full], FINE_PLACES, 2), 32, 2)
-                    ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(full))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(FINE_LONGS))], schema=schema)
+            for at in range(0, batch.num_rows, SKETCHED):
+                part = batch.slice(at, SKETCHED)
+                held = part.column(part.schema.get_field_index("set"))
+                packed = _pack(signatures([x.values.to_numpy().view(np.uint64) for x in held], FINE_PLACES, 2), 32, 2)
+                ids = part.column(part.schema.get_field_index("id"))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(FINE_LONGS))], schema=schema)
 
-    return docs.mapInArrow(trimmed(scan), "id long, " + ", ".join(f"{f} long" for f in _FINE))
+    return sets.mapInArrow(trimmed(scan), "id long, " + ", ".join(f"{f} long" for f in _FINE))
 
 
 def _keys() -> Column:
@@ -208,46 +215,92 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     signed = materialise(_signed(base, size), "signed")
     full = signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in _SIGNS)), "classes", share=4)
+    placed = full.select("doc_id", "n_shingles", "same").join(classes.select("same", "id"), "same").select("doc_id", "n_shingles", "id")
+    placed = materialise(placed.unionByName(signed.where("same IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("id"))), "placed", share=4)
+
+    members = _members(classes)
+    stars = _stars(members, classes, percent)
+    sets = materialise(_sets(_texts(base, members, stars), size), "sets", share=2)
+    links = materialise(_similar(stars, sets, percent).unionByName(_shared_ids(placed)), "links", share=8)
+    found = components(links)
+
+    cross = materialise(_cross(members, classes, found, percent), "cross", share=8)
+    if cross.limit(1).count():
+        # Each pair meets two sketches of 256 bytes, and only those that sketches don't rule out meet full sets.
+        fine = materialise(_fine(_named(sets, cross).select("id", "set")), "fine", share=8)
+        left, right = (fine.select(F.col("id").alias(x), F.struct(*_FINE).alias(y)) for x, y in (("a", "l"), ("b", "r")))
+        kept = materialise(cross.join(left, "a").join(right, "b").where(_fine_close()).select("a", "b").distinct(), "kept", share=8)
+        held = _named(sets, kept).select("id", "set")
+        x, y = held.select(F.col("id").alias("a"), F.col("set").alias("x")), held.select(F.col("id").alias("b"), F.col("set").alias("y"))
+        more = materialise(kept.join(x, "a").join(y, "b").where(_alike(percent)).select("a", "b"), "more", share=8)
+        if more.limit(1).count():
+            found = components(links.unionByName(more))
+    out = placed.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(id, key, met) of keys that several classes have; met: how many."""
     # Fifty keys a class, nearly all of them different: small partitions keep the maps of partial sums small.
-    keyed = classes.repartition(max(12, input_partitions(docs.sparkSession)), "id").select("id", _keys().alias("key"))
+    keyed = classes.repartition(max(12, input_partitions(classes.sparkSession)), "id").select("id", _keys().alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("met")).where("first <> last")
-    members = materialise(keyed.join(shared.select("key", "met"), "key"), "members", share=4)
-    sized = classes.select("id", "n", *_SIGNS)
+    return materialise(keyed.join(shared.select("key", "met"), "key").select("id", "key", "met"), "members", share=4)
+
+
+def _stars(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """One pair (a, b) at most for each class b: with the best pivot of its keys, if their signatures allow it."""
     met = members.groupBy("id").agg(F.sum("met").alias("met"))
-    pivots = members.select("id", "key").join(met, "id").groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("met"), "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
-
-    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        pairs = materialise(pairs, f"pairs-{tag}", share=4)
-        sets = materialise(_sets(_rows_of(base, pairs), size), f"sets-{tag}", share=8)
-        left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        joined = pairs.join(left, "a").join(right, "b")
-        return materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), f"links-{tag}", share=8)
-
-    best = members.select("id", "key").join(pivots.join(met.select(F.col("id").alias("pivot"), F.col("met").alias("rank")), "pivot"), "key").where("id <> pivot")
-    near = best.groupBy("id").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "pivot")).alias("p")).select(F.col("p.pivot").alias("a"), F.col("id").alias("b"))
-    near = near.join(sized.select(F.col("id").alias("a"), F.struct("n", *_SIGNS).alias("l")), "a").join(sized.select(F.col("id").alias("b"), F.struct("n", *_SIGNS).alias("r")), "b")
-    links = confirmed(near.where(_close(percent)).select("a", "b"), "star")
-    found = components(links)
+    ranked = members.select("id", "key").join(met, "id")
+    pivots = ranked.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("rank"), F.col("id").alias("pivot"))).alias("p"))
+    best = members.select("id", "key").join(pivots, "key").where("id <> p.pivot").groupBy("id").agg(F.min("p").alias("p")).select(F.col("p.pivot").alias("a"), F.col("id").alias("b"))
+    sized = classes.select("id", F.struct("n", *_SIGNS).alias("s"))
+    near = best.join(sized.select(F.col("id").alias("b"), F.col("s").alias("r")), "b").join(sized.select(F.col("id").alias("a"), F.col("s").alias("l")), "a")
+    return materialise(near.where(_close(percent)).select("a", "b").distinct(), "stars", share=8)
+
+
+def _texts(base: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Texts of all classes that share a key, with the pivot of each: the one time that texts are dealt out, at every size."""
+    ids = members.select("id").distinct().join(stars.select(F.col("b").alias("id"), F.col("a").alias("pivot")), "id", "left")
+    return base.join(ids.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "pivot")
+
+
+def _alike(percent: int) -> Column:
+    both = F.size(F.array_intersect("x", "y"))
+    return 100 * both >= percent * (F.size("x") + F.size("y") - both)
+
+
+def _similar(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stars' pairs whose full sets are similar enough. A pivot's set is laid out for every TILE of its pairs."""
+    tiles = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    hubs = sets.select(F.col("id").alias("a"), F.col("set").alias("x")).join(tiles, "a").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    points = sets.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("set").alias("y")).join(tiles, "a")
+    points = points.withColumn("tile", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int")).drop("tiles")
+    return points.join(hubs.drop("tiles"), ["a", "tile"]).where(_alike(percent)).select("a", "b")
+
+
+def _shared_ids(placed: DataFrame) -> DataFrame:
+    """Links by ids that several different texts have."""
+    some = placed.where("id IS NOT NULL").select("doc_id", "id")
+    several = some.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("doc_id")
+    return some.join(several, "doc_id", "left_semi").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+
+def _cross(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a key and whose signatures are close; each pair once.
+
+    Keys of more than TILE classes are cut into tiles: each class meets every tile, in a group of its own."""
+    known = members.select("id", "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
+    rest = known.join(mixed, "key").join(classes.select("id", "n", *_SIGNS), "id")
+    rest = materialise(rest.select("key", "tiles", F.struct("id", "component", "n", *_SIGNS).alias("l")), "mixed", share=4)
+    left = rest.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    right = rest.select("key", F.pmod(F.xxhash64("l.id"), F.col("tiles")).cast("int").alias("tile"), F.col("l").alias("r"))
+    near = left.join(right, ["key", "tile"]).where((F.col("l.component") < F.col("r.component")) & _close(percent) & _first_key(F.col("key")))
+    return near.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
 
-    placed = members.select("id", "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(placed.join(mixed, "key", "left_semi"), "mixed", share=8)
-    fine = materialise(_fine(_rows_of(base, rest.select(F.col("id").alias("a"), F.col("id").alias("b"))), size).dropDuplicates(["id"]), "fine", share=8)
-    full_rest = materialise(rest.join(sized.join(fine, "id"), "id").select("key", F.struct("id", "component", "n", *_SIGNS, *_FINE).alias("l")), "compared", share=8)
-    right = full_rest.select(F.col("key").alias("rk"), F.col("l").alias("r"))
-    cross = full_rest.join(right, (F.col("key") == F.col("rk")) & (F.col("l.component") < F.col("r.component")) & _close(percent) & _fine_close() & _first_key(F.col("key")))
-    more = confirmed(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")), "cross")
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
-    labelled = classes.select("same", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "same").join(labelled, "same", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
-
-
-def _rows_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents that pairs name."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return base.join(ids, "doc_id", "left_semi")
+def _named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of documents that pairs name."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return sets.join(ids, "id", "left_semi")

@@ -68,6 +68,28 @@ def test_whole_sample(sample):
     assert got(nd.link(sample)) == brute(docs)
 
 
+def test_one_id_with_several_texts(make):
+    """A document is linked by every text it has; its rows share a component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(5, a), (5, b), (9, a), (3, b), (7, c), (8, c), (8, None), (6, "one")]
+    assert got(nd.link(make(docs))) == brute(docs)
+
+
+def test_tiles(make, monkeypatch):
+    """Keys of many classes are cut into tiles, and no link is lost."""
+    monkeypatch.setattr(nd, "TILE", 3)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(70)]
+    docs = []
+    for i in range(40):
+        own = [f"o{i // 2}_{k}" for k in range(30)]
+        if i % 2:
+            own[rng.randrange(30)] = "changed"
+        docs.append((i, " ".join(passage + own)))
+    docs += [(100 + i, f"{docs[0][1]} e{i}") for i in range(30)]
+    assert got(nd.link(make(docs))) == brute(docs)
+
+
 def test_chunks_guarantee_the_threshold():
     """Any two signatures within 19 places share a key."""
     rng = np.random.default_rng(1)

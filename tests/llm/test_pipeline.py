@@ -24,7 +24,7 @@ def test_stages(shipped, sample):
         if name == "quality_classifier":
             assert 0.6 * len(seen) < len(now) < len(seen)
         elif name == "minhash_near_dedup":
-            groups = near_dedup.link(docs).collect()
+            groups = near_dedup.link(docs, size=5).collect()
             assert set(now) == {r.component_id for r in groups} and len(now) < len(seen)
         elif name == "benchmark_decontamination":
             assert decontaminate.find(docs, bench).where("n_hit > 0").count() and not decontaminate.find(out, bench).where("n_hit > 0").count()
@@ -52,3 +52,13 @@ def test_repeated_and_null_rows(shipped, sample):
     kept = corpus_pipeline.minhash_near_dedup(shipped, odd, FOLDER).collect()
     assert sorted(r.doc_id is None for r in kept) == [False, True]
     assert zlib.crc32(kept[0].text.encode()) == zlib.crc32(kept[1].text.encode())
+
+
+def test_different_texts_of_one_id_stay(shipped, make):
+    """Rows of one id that are no copies are all kept; equal rows are kept once, and clashing columns do no harm."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = make([(4, a), (4, b), (4, a), (9, b), (2, None), (3, ""), (1, a * 1)])
+    out = corpus_pipeline.minhash_near_dedup(shipped, docs, FOLDER)
+    assert sorted((r.doc_id, r.text) for r in out.where("text <> ''").collect()) == [(1, a)]
+    apart = make([(4, a), (4, b), (4, a)])
+    assert sorted(r.text for r in corpus_pipeline.minhash_near_dedup(shipped, apart, FOLDER).collect()) == [a, b]

@@ -224,15 +224,11 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     links = materialise(_similar(stars, sets, percent).unionByName(_shared_ids(placed)), "links", share=8)
     found = components(links)
 
-    cross = materialise(_cross(members, classes, found, percent), "cross", share=8)
+    cross = materialise(_cross(members, classes, sets, found, percent), "cross", share=8)
     if cross.limit(1).count():
-        # Each pair meets two sketches of 256 bytes, and only those that sketches don't rule out meet full sets.
-        fine = materialise(_fine(_named(sets, cross).select("id", "set")), "fine", share=8)
-        left, right = (fine.select(F.col("id").alias(x), F.struct(*_FINE).alias(y)) for x, y in (("a", "l"), ("b", "r")))
-        kept = materialise(cross.join(left, "a").join(right, "b").where(_fine_close()).select("a", "b").distinct(), "kept", share=8)
-        held = _named(sets, kept).select("id", "set")
+        held = _named(sets, cross).select("id", "set")
         x, y = held.select(F.col("id").alias("a"), F.col("set").alias("x")), held.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        more = materialise(kept.join(x, "a").join(y, "b").where(_alike(percent)).select("a", "b"), "more", share=8)
+        more = materialise(cross.join(x, "a").join(y, "b").where(_alike(percent)).select("a", "b"), "more", share=8)
         if more.limit(1).count():
             found = components(links.unionByName(more))
     out = placed.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -286,17 +282,19 @@ def _shared_ids(placed: DataFrame) -> DataFrame:
     return some.join(several, "doc_id", "left_semi").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
 
-def _cross(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a key and whose signatures are close; each pair once.
+def _cross(members: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a key and whose signatures and sketches are close; each pair once.
 
     Keys of more than TILE classes are cut into tiles: each class meets every tile, in a group of its own."""
     known = members.select("id", "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
-    rest = known.join(mixed, "key").join(classes.select("id", "n", *_SIGNS), "id")
-    rest = materialise(rest.select("key", "tiles", F.struct("id", "component", "n", *_SIGNS).alias("l")), "mixed", share=4)
+    slim = materialise(known.join(mixed, "key").select("key", "tiles", "id", "component"), "mixed", share=8)
+    wanted = sets.join(slim.select("id").distinct(), "id", "left_semi").select("id", "set")
+    wide = materialise(classes.select("id", "n", *_SIGNS).join(_fine(wanted), "id"), "sketches", share=8)
+    rest = slim.join(wide, "id").select("key", "tiles", F.struct("id", "component", "n", *_SIGNS, *_FINE).alias("l"))
     left = rest.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
     right = rest.select("key", F.pmod(F.xxhash64("l.id"), F.col("tiles")).cast("int").alias("tile"), F.col("l").alias("r"))
-    near = left.join(right, ["key", "tile"]).where((F.col("l.component") < F.col("r.component")) & _close(percent) & _first_key(F.col("key")))
+    near = left.join(right, ["key", "tile"]).where((F.col("l.component") < F.col("r.component")) & _close(percent) & _fine_close() & _first_key(F.col("key")))
     return near.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 

@@ -62,10 +62,14 @@ def normalize(s: Column | str) -> Column:
     return F.trim(F.regexp_replace(kept, r"[ \t\-_:]+", " "))
 
 
+def runs_of_three(s: Column | str) -> Column:
+    """All runs of three characters in a row, in one pass over the text: each match steps on by one character and looks two ahead."""
+    return F.regexp_extract_all(_c(s), F.lit("(?s)(?=(...))."), F.lit(1))
+
+
 def trigrams(s: Column | str) -> Column:
     """Distinct runs of three characters."""
-    s = _c(s)
-    return F.when(F.length(s) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(runs_of_three(s))
 
 
 def dice(a: Column, b: Column) -> Column:

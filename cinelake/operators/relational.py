@@ -13,7 +13,7 @@ from cinelake.functions.expr import SEPARATOR
 def lookup(df: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
     """Rows of some ids in the order asked for; an id asked for twice comes once, misses are absent."""
     asked = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(ids))], f"pos long, {key} long")
-    return df.join(F.broadcast(asked), key).orderBy("pos")
+    return df.join(asked, key).orderBy("pos")
 
 
 def by_kind(facts: DataFrame, dimensions: dict[str, DataFrame], kind: str, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ grams. The cap on candidates is part of the operator: the re-rank sees the best
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,46 +27,53 @@ def query_grams(query: str) -> list[str]:
 
 
 def _grams(s: Column) -> Column:
-    s = F.lower(s)
-    return F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return expr.runs_of_three(F.lower(s))
+
+
+def _size(fields: Iterable[str]) -> Column:
+    """Grams of all fields of a row."""
+    return sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in fields), F.lit(0))
 
 
 def index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(gram, id, field, tf, size) of the raw text of some columns; size: grams of that field."""
+    """(gram, id, field, tf, size) of the raw text of some columns; size: grams of all of them, so that scoring needs no other table."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), _grams(F.coalesce(F.col(f), F.lit(""))).alias("grams")) for f in fields))
-    each = df.select(F.col(key).cast("long").alias("id"), F.explode(parts).alias("p")).select("id", "p.field", F.size("p.grams").alias("size"), F.explode("p.grams").alias("gram"))
+    each = df.select(F.col(key).cast("long").alias("id"), _size(fields).alias("size"), F.explode(parts).alias("p")).select("id", "size", "p.field", F.explode("p.grams").alias("gram"))
     return each.groupBy("gram", "id", "field", "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(postings: DataFrame, documents: DataFrame, key: str, fields: Mapping[str, float], grams: list[str]) -> DataFrame:
+def statistics(df: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """One row: docs, and the mean of their sizes."""
+    return df.agg(F.count(F.lit(1)).alias("docs"), F.avg(_size(fields)).alias("mean"))
+
+
+def bm25(postings: DataFrame, stats: DataFrame, fields: Mapping[str, float], grams: list[str]) -> DataFrame:
     """(id, bm25) of the documents that have any of the grams in any field; weights multiply frequencies.
 
-    Rare grams count more; a gram that most documents have counts next to nothing, never less."""
-    total = None
-    for f in fields:
-        n = F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0))
-        total = n if total is None else total + n
-    stats = documents.agg(F.count(F.lit(1)).alias("docs"), F.avg(total).alias("mean"))
+    Rare grams count more; a gram that most documents have counts next to nothing, never less. Scores are rounded to nine places, so
+    that the order of their sums decides nothing."""
     weight = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in fields.items()))
     hits = postings.where(F.col("gram").isin(grams) & F.col("field").isin(list(fields))).withColumn("weighted", F.col("tf") * weight)
-    per_document = hits.groupBy("gram", "id").agg(F.sum("weighted").alias("f"))
-    # A query has few grams: one row each.
+    per_document = hits.groupBy("gram", "id", "size").agg(F.sum("weighted").alias("f"))
+    # A query has few grams: one row each, and one row of statistics.
     df = per_document.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    sized = documents.select(F.col(key).cast("long").alias("id"), total.alias("size"))
-    joined = per_document.join(F.broadcast(df), "gram").join(sized, "id").crossJoin(F.broadcast(stats))
+    joined = per_document.join(F.broadcast(df), "gram").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return joined.groupBy("id").agg(F.sum(score).alias("bm25"))
+    return joined.groupBy("id").agg(F.round(F.sum(score), 9).alias("bm25"))
+
 
+def search(df: DataFrame, key: str, fields: Mapping[str, float], field: str, query: str, limit: int, cap: int = 500, postings: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """The best rows by fuzzy score of one field, among the cap best by BM25 over all fields; ties by BM25, then by id.
 
-def search(df: DataFrame, key: str, fields: Mapping[str, float], field: str, query: str, limit: int, cap: int = 500, postings: DataFrame | None = None) -> DataFrame:
-    """The best rows by fuzzy score of one field, among the cap best by BM25 over all fields; ties by BM25, then by id."""
+    postings and stats: a written index over just these fields; without them both are made on the spot."""
     grams = query_grams(query)
     if not grams:
         return df.limit(0).withColumns({"score": F.lit(0.0), "bm25": F.lit(0.0)})
     postings = index(df, key, list(fields)) if postings is None else postings
-    best = bm25(postings, df, key, fields, grams).orderBy(F.desc("bm25"), "id").limit(cap)
-    joined = df.join(F.broadcast(best), df[key].cast("long") == best["id"]).drop(best["id"])
+    stats = statistics(df, fields) if stats is None else stats
+    best = bm25(postings, stats, fields, grams).orderBy(F.desc("bm25"), "id").limit(cap)
+    joined = df.join(best, df[key].cast("long") == best["id"]).drop(best["id"])
     scored = joined.withColumn("score", expr.fuzzy_score(F.lit(normalized(query)), expr.normalize(F.coalesce(F.col(field), F.lit("")))))
     return scored.orderBy(F.desc("score"), F.desc("bm25"), key).limit(limit)
 
@@ -81,7 +88,7 @@ def fuzzy(df: DataFrame, key: str, field: str, query: str, limit: int) -> DataFr
 
 def with_counts(hits: DataFrame, key: str, facts: DataFrame, foreign: str, name: str) -> DataFrame:
     """Hits with the number of their facts: one aggregation, not a query for each hit."""
-    counts = facts.join(F.broadcast(hits.select(F.col(key).alias(foreign))), foreign, "left_semi").groupBy(foreign).agg(F.count(F.lit(1)).alias(name))
+    counts = facts.join(hits.select(F.col(key).alias(foreign)), foreign, "left_semi").groupBy(foreign).agg(F.count(F.lit(1)).alias(name))
     return hits.join(counts, hits[key] == counts[foreign], "left").drop(counts[foreign]).withColumn(name, F.coalesce(name, F.lit(0)))
 
 

@@ -37,11 +37,17 @@ class Library:
         for table, fields in (("movies", FILM_FIELDS), ("television_series", SERIES_FIELDS), ("television_episodes", {"title": 1.0}), ("people", {"name": 1.0}), ("events", EVENT_FIELDS)):
             index = search.index(self.tables[table], "id", list(fields))
             index.repartitionByRange(buckets, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/{table}_fts")
+            search.statistics(self.tables[table], fields).write.mode("overwrite").parquet(f"{folder}/{table}_fts_stats")
+
+    def with_indexes(self, folder: str) -> Library:
+        """This library with the indexes that a folder holds."""
+        spark, tables = self.movies.sparkSession, ("movies", "television_series", "television_episodes", "people", "events")
+        return Library(self.tables, {f"{t}{part}": spark.read.parquet(f"{folder}/{t}_fts{part}") for t in tables for part in ("", "_stats")})
 
     # Searches
 
     def _search(self, table: str, fields: Mapping[str, float], field: str, query: str, limit: int, cap: int) -> DataFrame:
-        return search.search(self.tables[table], "id", fields, field, query, limit, cap, self.indexes.get(table))
+        return search.search(self.tables[table], "id", fields, field, query, limit, cap, self.indexes.get(table), self.indexes.get(f"{table}_stats"))
 
     def search_movies(self, query: str, field: str = "title", limit: int = 20) -> DataFrame:
         return self._search("movies", FILM_FIELDS, field, query, limit, CAPS["movie"]).select("id", "title", "year", "starring", "director", "cover_image_url", "score")

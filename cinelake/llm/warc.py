@@ -1,7 +1,8 @@
 """WARC files as a PySpark Python data source, and deduplicated archives of a page table.
 
 Writing: each task writes WARC/1.1 records, one gzip member each, to files of at most max_bytes; the driver commits by
-writing a manifest, so files of lost or repeated tasks are never read. Each member's gzip header carries the lengths of
+writing a manifest for the job, so files of lost or repeated tasks are never read. Readers take the union of all manifests, so
+that jobs add up; overwriting removes those of earlier jobs. Each member's gzip header carries the lengths of
 its two further members (headers and payload are separate deflate blocks of one member), so that a reader can pass over
 a payload without inflating it.
 
@@ -9,12 +10,13 @@ Reading: files are planned as partitions of split_bytes; a partition owns the me
 record type and other header columns are pushed down; a record's headers are inflated first, and its payload only if the
 record passes and the payload column is asked for.
 
-archive(): one response per distinct payload (the largest page_id), revisit records for the others. Digests are joined
-in a slim table; a payload that many pages share is split by adaptive execution.
+archive(): one response per distinct payload (the largest page_id), revisit records for the others. Only digests and ids are
+dealt out to find repeated payloads. The list of repeated digests is written and counted: up to REPEATED of them go to all tasks, and
+pages are written where they were read; a longer list is joined with the pages by digest, where adaptive execution splits a payload that many share.
 
 Defined results: null html is the empty payload; a null page_id is a revisit of the largest page_id with the same
 payload, or a response if there is none; rows that repeat the largest page_id are all responses; further columns are
-ignored; an empty table gives an archive without records.
+ignored; a very long payload is one record, however long; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -52,12 +54,13 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from ._util import new_path
+from ._util import materialise, new_path
 
 MAX_BYTES = 256 << 20
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
-MANIFEST = "_manifest.json"
+REPEATED = 500_000  # of some 60 bytes each
+MANIFEST = "_manifest-"  # and the job
 
 #: Column -> header field. Fixed values of the format.
 HEADERS = {
@@ -200,17 +203,29 @@ def members(source: _Source, start: int, end: int, size: int):
             return
 
 
-def _plain_records(data: bytes):
-    """Records of a file that is not compressed."""
+def plain_records(source: _Source, size: int):
+    """Records of a file that is not compressed. From headers to headers: payloads that nobody loads are not read.
+
+    Where a record begins is only known from the lengths of all before it, so such a file is one partition."""
     at = 0
-    while (begin := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", begin)
-        if stop < 0:
-            return
-        fields = parse_head(data[begin:stop]) or {}
-        size = int(fields.get("Content-Length", 0))
-        yield Member(fields, stop + 4 + size, lambda a=stop + 4, n=size: data[a : a + n])
-        at = stop + 4 + size
+    while at < size:
+        chunk = source.at(at, 1 << 16)
+        begin = chunk.find(b"WARC/")
+        if begin < 0:
+            at += max(1, len(chunk) - 4)
+            continue
+        at, chunk = at + begin, chunk[begin:]
+        while (stop := chunk.find(b"\r\n\r\n")) < 0:
+            more = source.at(at + len(chunk), len(chunk) + 1024)
+            if not more:
+                return
+            chunk += more
+        fields = parse_head(chunk[:stop]) or {}
+        length = fields.get("Content-Length", "0")
+        length = int(length) if length.isdigit() else 0
+        first = at + stop + 4
+        yield Member(fields, first + length, lambda a=first, n=length: source.at(a, n))
+        at = first + length
 
 
 @dataclass
@@ -283,9 +298,12 @@ class WarcReader(DataSourceReader):
         fs, path = filesystem(self.path)
         infos = fs.get_file_info(pafs.FileSelector(path)) if fs.get_file_info(path).type == pafs.FileType.Directory else [fs.get_file_info(path)]
         names = {i.base_name for i in infos}
-        if MANIFEST in names:
-            with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
-                names = set(json.loads(f.read()))
+        manifests = [n for n in names if n.startswith(MANIFEST)]
+        if manifests:  # one of each job that wrote here
+            names = set()
+            for n in manifests:
+                with fs.open_input_stream(f"{path}/{n}") as f:
+                    names |= set(json.loads(f.read()))
         out = []
         for i in sorted(infos, key=lambda i: i.path):
             if i.base_name not in names or not i.base_name.endswith((".warc", ".warc.gz")):
@@ -302,7 +320,7 @@ class WarcReader(DataSourceReader):
         rows: list[list] = [[] for _ in self.columns]
         held = 0
         with fs.open_input_file(part.path) as handle:
-            found = members(_Source(handle), part.start, part.end, part.size) if part.path.endswith(".gz") else _plain_records(handle.read())
+            found = members(_Source(handle), part.start, part.end, part.size) if part.path.endswith(".gz") else plain_records(_Source(handle), part.size)
             for m in found:
                 if not all(test(_value(m.fields, c)) for c, test in tests):
                     continue
@@ -330,8 +348,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows of (record_type, target_uri, page_id, refers_to, payload_bytes, payload_digest, payload)."""
 
-    def __init__(self, options: dict):
-        self.path, self.job = options["path"], uuid.uuid4().hex[:12]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.job, self.overwrite = options["path"], uuid.uuid4().hex[:12], overwrite
         self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
         self.date = options.get("date", "1970-01-01T00:00:00Z")
 
@@ -379,8 +397,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, path = filesystem(self.path)
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/{MANIFEST}") as f:
+        before = [i.path for i in fs.get_file_info(pafs.FileSelector(path)) if i.base_name.startswith(MANIFEST)] if self.overwrite else []
+        with fs.open_output_stream(f"{path}/{MANIFEST}{self.job}.json") as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        for old in before:
+            fs.delete_file(old)
 
     def abort(self, messages):
         fs, path = filesystem(self.path)
@@ -401,7 +422,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -415,6 +436,9 @@ def archive(pages: DataFrame, path: str, least: int = 0) -> None:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     largest = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    largest = materialise(largest, "repeated", share=8)
+    if largest.count() <= REPEATED:
+        largest = F.broadcast(largest)
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     out = base.join(largest, "payload_digest", "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),

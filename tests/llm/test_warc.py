@@ -82,3 +82,34 @@ def test_members_are_gzip_and_others_are_read(tmp_path):
         reader = warc.WarcReader(warc.StructType.fromDDL("record_type string, payload binary"), {"path": str(tmp_path), "split_bytes": split})
         rows = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
         assert sorted(rows) == sorted([("response", b"body")] * 2 + [("warcinfo", b"abc")] * 3)
+
+
+def test_jobs_add_up(shipped):
+    """A second append keeps the first archive's records; overwriting doesn't."""
+    path = new_path(shipped, "test")
+    warc.archive(frame(shipped, [(1, "a", "one"), (2, "b", "two")]), path)
+    warc.archive(frame(shipped, [(3, "c", "three")]), path)
+    assert sorted(r.page_id for r in warc.read(shipped, path).select("page_id").collect()) == [1, 2, 3]
+    kept = warc.read(shipped, path).where("page_id = 3").select("record_type", "target_uri", "page_id", "refers_to", "payload_bytes", "payload_digest", "payload")
+    again = shipped.createDataFrame([tuple(r) for r in kept.withColumn("payload_digest", warc.F.sha1("payload")).collect()], kept.schema)
+    again.write.format("warc").option("path", path).mode("overwrite").save()
+    assert [r.page_id for r in warc.read(shipped, path).select("page_id").collect()] == [3]
+
+
+def test_long_lists_of_repeated_payloads_are_joined(shipped, monkeypatch):
+    monkeypatch.setattr(warc, "REPEATED", 0)
+    assert Counter(map(tuple, warc.round_trip(frame(shipped, PAGES)).collect())) == brute(PAGES)
+
+
+def test_plain_files_are_read_by_headers(tmp_path):
+    big = b"WARC/1.1 is no record here\r\n\r\n" * 9000
+    heads = [b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: %d\r\nX-Long: %s\r\nContent-Length: %d\r\n\r\n" % (i, b"y" * (90_000 if i == 2 else 1), len(big)) for i in range(4)]
+    (tmp_path / "x.warc").write_bytes(b"".join(h + big + b"\r\n\r\n" for h in heads))
+    with open(tmp_path / "x.warc", "rb") as f:
+        source = warc._Source(f)
+        asked = []
+        inner = source.at
+        source.at = lambda where, n: asked.append(n) or inner(where, n)
+        found = list(warc.plain_records(source, (tmp_path / "x.warc").stat().st_size))
+        assert [m.fields["X-Page-ID"] for m in found] == ["0", "1", "2", "3"] and sum(asked) < len(big) * 3
+        assert found[2].load() == big

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ._util import column, materialise
 
+STEPS = 6  # along chains of references, in a job
 _MARK = re.compile(r"<(tool_call|tool_result|tools)>(.*?)</\1>", re.S)
 
 _FIELDS = [("conv_id", pa.int64()), ("turn", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("kind", pa.string()), ("call_id", pa.string()), ("name", pa.string()), ("body", pa.string()), ("needs", pa.list_(pa.string()))]
@@ -255,6 +256,16 @@ def _written(df: DataFrame, registry: dict[str, object]) -> DataFrame:
     return df.mapInArrow(scan, "conv_id long, turn long, seq long, kind string, call_id string, status string, valid boolean, problems array<string>, at_turn long, level long, json string")
 
 
+def _step(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Places the nodes all of whose nodes before are placed; fresh: whether a node was, in this step or one before."""
+    before = nodes.select("conv_id", F.col("node").alias("before"), "at").join(edges, ["conv_id", "before"])
+    before = before.groupBy("conv_id", "node").agg(F.max("at").alias("least"), F.max(F.col("at").isNull()).alias("blocked"))
+    above = F.struct(F.col("least.turn").alias("turn"), (F.col("least.level") + 1).alias("level"))
+    place = F.when(F.col("least").isNotNull() & (above > F.col("own")), above).otherwise(F.col("own"))
+    free = F.col("at").isNull() & ~F.coalesce("blocked", F.lit(False))
+    return nodes.join(before, ["conv_id", "node"], "left").select("conv_id", "node", "own", F.when(free, place).otherwise(F.col("at")).alias("at"), (F.col("fresh") | free).alias("fresh"))
+
+
 def link(messages: DataFrame, registry: dict[str, object] | None = None) -> DataFrame:
     """Rows in topological order by (conv_id, at_turn, level, seq): kind, status, validity and canonical JSON of each."""
     found = events(messages)
@@ -280,15 +291,13 @@ def link(messages: DataFrame, registry: dict[str, object] | None = None) -> Data
     edges = materialise(call.select("conv_id", F.concat(F.lit("c"), "call_id").alias("node"), F.explode("needs").alias("n")).select("conv_id", F.concat(F.lit("r"), "n").alias("before"), "node").unionByName(call.select("conv_id", F.concat(F.lit("c"), "call_id").alias("before"), F.concat(F.lit("r"), "call_id").alias("node"))).distinct(), "edges")
     nodes = linked.where("status IN ('linked', 'no_result')").groupBy("conv_id", F.concat(F.when(F.col("kind") == "call", "c").otherwise("r"), "call_id").alias("node")).agg(F.min(F.struct("turn", F.lit(0).cast("long").alias("level"))).alias("own"))
     nodes = materialise(nodes.select("conv_id", "node", "own", F.lit(None).cast(nodes.schema["own"].dataType).alias("at")), "nodes")
-    step = 0
-    while True:  # a node is placed once all nodes before it are; the longest chain of references bounds the rounds
-        before = nodes.select("conv_id", F.col("node").alias("before"), "at").join(edges, ["conv_id", "before"])
-        before = before.groupBy("conv_id", "node").agg(F.max("at").alias("least"), F.max(F.col("at").isNull()).alias("blocked"))
-        above = F.struct(F.col("least.turn").alias("turn"), (F.col("least.level") + 1).alias("level"))
-        place = F.when(F.col("least").isNotNull() & (above > F.col("own")), above).otherwise(F.col("own"))
-        free = F.col("at").isNull() & ~F.coalesce("blocked", F.lit(False))
-        after = materialise(nodes.join(before, ["conv_id", "node"], "left").select("conv_id", "node", "own", F.when(free, place).otherwise(F.col("at")).alias("at"), free.alias("fresh")), f"nodes{step}")
-        nodes, step = after.drop("fresh"), step + 1
+    rounds = 0
+    while True:  # a node is placed once all nodes before it are; each job takes STEPS steps along the chains of references
+        after = nodes.withColumn("fresh", F.lit(False))
+        for _ in range(STEPS):
+            after = _step(after, edges)
+        after, rounds = materialise(after, f"nodes{rounds}", share=8), rounds + 1
+        nodes = after.drop("fresh")
         if not after.where("fresh").limit(1).count():
             break
     # What could not be placed lies on a cycle of references, or after one: it keeps its own place.

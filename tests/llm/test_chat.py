@@ -1,4 +1,5 @@
 import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,72 @@ def test_links_order_and_validation(shipped):
     assert next(r.json for r in out if r.conv_id == 2) == '{"content":"plain","role":"user"}'
 
 
+def brute(rows):
+    """Status and place of each row, one by one: what joins and rounds have to give."""
+    found = [(c, t, i, *e[:2]) + (e[4],) for c, t, r, x in rows for i, e in enumerate(chat.parse(r, x))]
+    first = {}
+    for c, t, i, kind, name, _ in found:
+        key = (c, kind, name)
+        first[key] = min(first.get(key, (t, i)), (t, i))
+    status, own, needs = {}, {}, {}
+    for c, t, i, kind, name, refs in found:
+        call, answer = first.get((c, "call", name)), first.get((c, "result", name))
+        if kind == "result":
+            s = "linked" if call else "no_call"
+        elif kind == "call":
+            s = "repeated" if call != (t, i) else "linked" if answer else "no_result"
+        else:
+            s = kind
+        status[c, t, i] = s
+        if s in ("linked", "no_result"):
+            node = (c, kind[0], name)
+            own[node] = min(own.get(node, (t, 0)), (t, 0))
+            if kind == "call":
+                needs[node] = {(c, "r", n) for n in refs or ()}
+                needs.setdefault((c, "r", name), set()).add(node)
+    at = {}
+    while True:
+        free = [n for n in own if n not in at and all(b in at for b in needs.get(n, ()) if b in own)]
+        if not free:
+            break
+        at |= {n: max([own[n], *((at[b][0], at[b][1] + 1) for b in needs.get(n, ()) if b in own)]) for n in free}
+    out = []
+    for c, t, i, kind, name, _ in found:
+        s, node = status[c, t, i], (c, kind[0], name)
+        if s in ("linked", "no_result"):
+            if node not in at:
+                out.append((c, t, i, kind, name, "cycle", t, 0))
+                continue
+            place = at[node]
+            out.append((c, t, i, kind, name, s, max(t, place[0]), place[1] if place[0] >= t else 0))
+        else:
+            out.append((c, t, i, kind, name, s, t, 0))
+    return sorted(out, key=str)
+
+
+def test_generated_conversations(shipped):
+    """References, cycles, repeats, missing calls and results, and a chain of fifty calls, against brute force."""
+    rng = random.Random(11)
+    rows = []
+    for c in range(40):
+        for t in range(rng.randint(1, 9)):
+            marks = []
+            for _ in range(rng.randint(0, 3)):
+                name = f"i{rng.randint(0, 5)}"
+                if rng.random() < 0.5:
+                    marks.append(result(name, t))
+                else:
+                    marks.append(call(name, "f", **{f"a{k}": {"$ref": f"i{rng.randint(0, 6)}"} for k in range(rng.choice([0, 0, 1, 2]))}))
+            rows.append((c, t, "assistant", "text " + " ".join(marks)))
+    chain = [(99, 0, "tool", "".join(result(f"n{i}", i) for i in range(50))), (99, 1, "assistant", "".join(call(f"n{i}", "f", **({"x": {"$ref": f"n{i - 1}"}} if i else {})) for i in reversed(range(50))))]
+    rows += chain
+    out = linked(shipped, rows)
+    assert sorted(((r.conv_id, r.turn, r.seq, r.kind, r.call_id, r.status, r.at_turn, r.level) for r in out), key=str) == brute(rows)
+    assert max(r.level for r in out) == 99 and {"cycle", "repeated", "no_call", "no_result", "linked"} <= {r.status for r in out}
+    written = {(r.conv_id, r.turn, r.seq): r.json for r in out}
+    assert all(j == chat.canonical(json.loads(j)) for j in written.values())
+
+
 def test_cycles_settle(shipped):
     rows = [(1, 0, "assistant", call("a", "f", x={"$ref": "b"}) + call("b", "f", x={"$ref": "a"})), (1, 1, "tool", result("a", 1) + result("b", 2)), (1, 2, "assistant", call("c", "f")), (1, 3, "tool", result("c", 1))]
     out = linked(shipped, rows)

@@ -10,8 +10,8 @@ aggregations with map-side combination, each key narrower than the last, so a se
 hold costs each task one row.
 
 Defined results: null text is empty and has no spans; a null source is an owner of its own; null ids count as one
-repository; repeated rows are answered each and count as one repository; further columns are ignored; an empty table gives an empty
-table.
+repository; repeated rows are answered each and count as one repository; a very long text is scanned whole, in time near linear in its matches; matches of one
+kind never overlap, and where spans of different kinds begin together the order is that of KINDS; further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ TOKEN = r"[A-Za-z0-9_-]{28,}"
 MIXED = ("[0-9]", "[A-Za-z]")  # what an owned token has, wherever
 KINDS = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16), "owned": (TOKEN, 0, 28)}
 BASE = ("assign", "access", "hex")
+BLOCK = 200  # matches whose places are summed one by one
+SENT = 200_000  # of some 100 bytes each
 
 #: Equal to KINDS where every match that is too short can be skipped at once: a run of the class is one match either way.
 SEARCHED = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
@@ -47,7 +49,12 @@ def _spans(kind: str, found: Column, values: Column, text: Column) -> Column:
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    all_of = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    # Starts are running sums. In blocks, so that no array grows match by match: the work is near linear in the matches.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, BLOCK))
+    lengths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+    none_yet = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+    offsets = F.aggregate(lengths, none_yet, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    all_of = F.flatten(F.zip_with(blocks, offsets, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])))
     kept = F.filter(all_of, lambda s: F.length(s["value"]) >= least)
     if kind == "owned":
         kept = F.filter(kept, lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]))
@@ -118,6 +125,10 @@ def redact(docs: DataFrame, max_owners: int = 1, max_repositories: int = 3) -> D
     """Documents with live-looking secrets replaced by their kind in brackets; examples stay."""
     docs = docs.select(*(F.col(c).cast("long" if c in ("doc_id", "n_chars") else "string").alias(c) for c in DOC_COLUMNS))
     marks = scan(docs, max_owners, max_repositories).select("doc_id", "mark", F.filter("all", lambda s: s["live"]).alias("live")).where(F.size("live") > 0).dropDuplicates(["doc_id", "mark"])
+    # Few texts change. Up to SENT of them go to all tasks with their spans, and texts stay where they are; a longer list is joined by id.
+    marks = materialise(marks, "live", share=8)
+    if marks.count() <= SENT and marks.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0] <= 4 * SENT:
+        marks = F.broadcast(marks)
     joined = docs.alias("d").join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64(text_or_empty("d.text")) == F.col("m.mark")), "left")
     text = F.col("d.text")
 

@@ -76,3 +76,23 @@ def test_digit_or_letter_may_come_late(make):
     rows = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(make(list(texts.items())))).collect()}
     assert rows[1] == "owned:0:76" and rows[3] == "" and rows[4] == "owned:2:303"
     assert "owned:0:71" in rows[2] or rows[2].startswith("hex:0:70")
+
+
+def test_very_many_matches(make):
+    """A text of twenty thousand matches: every place as a plain scan finds it."""
+    import hashlib
+    import re
+
+    text = "é".join(hashlib.md5(str(i).encode()).hexdigest() + " x" * (i % 3) for i in range(20_000))
+    (row,) = secrets.digest(secrets.scan(make([(1, text)]))).collect()
+    want = [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert row.n_hex == len(want) == 20_000
+    assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
+def test_redacted_texts_by_join(make, monkeypatch):
+    """A list of changed texts that is too long to send is joined, with the same result."""
+    docs = make([(1, "password = hunter2hunter2hunter2"), (2, "plain"), (None, None), (3, "token: abcdefghijkl1234 end")])
+    want = sorted(map(tuple, secrets.redact(docs).collect()), key=str)
+    monkeypatch.setattr(secrets, "SENT", 0)
+    assert sorted(map(tuple, secrets.redact(docs).collect()), key=str) == want and "[assign]" in str(want)

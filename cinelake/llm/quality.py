@@ -10,7 +10,8 @@ counts and the sample reaches the driver.
 
 Defined results: null and blank texts are rejected with score 0; repeated documents get equal scores; null ids are
 scored, and do not train; an empty table gives an empty table; without any vote in the corpus all documents that have a word are kept
-with score 0.5; further columns are ignored.
+with score 0.5; very long texts are judged whole; documents whose ids hash alike train in the order of ids, then of text hashes; a score of just 0.5
+is kept; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def signals(text: str | None) -> tuple[np.ndarray, list[bytes]]:
             len(raw.translate(None, _PROSE)) / len(raw),
             capitals / max(letters, 1),
             sum(map(bytes.__eq__, words[1:], words)) / n,
-            1 - distinct / n if n >= 20 else 0.0,
+            1 - distinct / n,
             sum(words.count(b) for b in (b"|", b"*", b"-", b"\xe2\x80\xa2")) / n,
             tails.count(33) / n,
             sum(tails.count(b) for b in b"#$%&*+=<>@^_`{|}~/\\") / n,
@@ -129,7 +130,7 @@ def _shape(word: bytes) -> int:
         _shapes.clear()
     found = _shapes.get(word)
     if found is None:
-        found = zlib.crc32(_REPEAT.sub(rb"\1\1", word.translate(_FOLD)[:64])) % SHAPES
+        found = zlib.crc32(_REPEAT.sub(rb"\1\1", word.translate(_FOLD))) % SHAPES
         if len(word) <= 64:
             _shapes[word] = found
     return found

@@ -5,7 +5,7 @@ is joined by its link target, and an unlinked name is no entity."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -286,9 +286,16 @@ class Database:
         names = [t for t in schemas.TABLES if not (t in ("franchises", "franchise_members") and self.part_of is None or t == "sequels" and self.sequel_of is None or t == "external_ids" and self.identifiers is None)]
         return {t: getattr(self, t).select(*schemas.TABLES[t]) for t in names}
 
+    def settled(self, folder: str) -> Database:
+        """This database over claims that are written by kind: articles are recognised once, however many tables follow."""
+        path = f"{folder.rstrip('/')}/claims"
+        self.claims.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(path)
+        held = self.claims.sparkSession.read.schema(self.claims.schema).parquet(path)
+        return replace(self, claims=held)
+
     def write(self, folder: str) -> None:
-        """Every table as compressed parquet under a folder."""
-        for name, df in self.tables().items():
+        """Every table as compressed parquet under a folder, beside the claims that they are made of."""
+        for name, df in self.settled(folder).tables().items():
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 

@@ -34,18 +34,26 @@ def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.sha2(F.concat(*(x for c in columns for x in (tagged(df, c), F.lit("\x1f")))), 256)
 
 
-def table_digest(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
+LEAF = 100_000  # hashes of a leaf
+
+
+def table_digest(df: DataFrame, columns: Sequence[str], leaf: int = LEAF) -> DataFrame:
     """One digest of a table's rows in whatever order they come: (digest, rows).
 
-    Rows are hashed, hashes are sorted within their bucket (of the first two hex digits) and hashed again, and so are the
-    buckets. All but the last step is spread; the last sees at most 256 rows."""
+    A tree over the rows' hashes: leaves are the hashes that begin with the same hex digits, sorted and hashed again; each node above holds the 256
+    that share two digits less. The tree is so deep that leaves have about leaf hashes, so no task sees more, however large the table."""
     hashed = df.select(row_digest(df, columns).alias("h"))
-    # A bucket's hashes are first counted, so repeated rows cost one entry.
+    # Equal hashes are counted first, so repeated rows cost one entry.
     counted = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    depth = len(f"{buckets - 1:x}")
-    by_bucket = counted.groupBy(F.substring("h", 1, depth).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("x", "h", F.col("n").cast("string")))), "\x1e"), 256).alias("d"), F.sum("n").alias("rows"))
+    depth, held = 2, df.count()
+    while held > leaf * 16**depth:
+        depth += 2
+    level = counted.groupBy(F.substring("h", 1, depth).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("x", "h", F.col("n").cast("string")))), "\x1e"), 256).alias("d"), F.sum("n").alias("rows"))
     whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: F.concat_ws(":", x["b"], x["d"])), "\x1e"), 256)
-    return by_bucket.agg(whole.alias("digest"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    while depth > 2:
+        depth -= 2
+        level = level.groupBy(F.substring("b", 1, depth).alias("p")).agg(whole.alias("d"), F.sum("rows").alias("rows")).withColumnRenamed("p", "b")
+    return level.agg(whole.alias("digest"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
 
 
 def ordered_digest(df: DataFrame, columns: Sequence[str]) -> str:

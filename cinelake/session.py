@@ -27,12 +27,19 @@ def session(app: str = "cinelake", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def ship(spark: SparkSession) -> None:
+BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
+
+def ship(spark: SparkSession, texts: bool = True) -> None:
     """Once for each application, hands the package to the executors' Python workers.
 
-    Rows of text are read and go to Python in batches of BATCH_ROWS, which bounds what either side holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)
+    texts: rows of text are read and go to Python in batches of BATCH_ROWS, which bounds what either side holds; else batches are as
+    Spark has them."""
+    for name in BATCHES:
+        if texts:
+            spark.conf.set(name, BATCH_ROWS)
+        else:
+            spark.conf.unset(name)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

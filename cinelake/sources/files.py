@@ -60,12 +60,20 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside its place and renames it, so that it is there whole or not at all."""
+    """Writes a small file beside its place and renames it over what stood there: a reader finds the old text or the new one, never none."""
     fs, p = _fs(spark, path)
     beside = p.suffix(".partial")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(beside, p)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), over)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or a folder with all that it holds."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinelake.sources import files
+
 RETENTION_DAYS = 42
 
 
@@ -28,33 +32,59 @@ def day_of(name: str) -> str | None:
     return m[1] if m else None
 
 
+def next_day(day: str) -> str:
+    return (datetime.strptime(day, "%Y%m%d") + timedelta(days=1)).strftime("%Y%m%d")
+
+
 class Store:
-    """Versioned tables in a folder: a day writes a new version, and a small state table that is written last commits it."""
+    """Versioned tables in a folder. A day writes new tables, and then one small state file of its own, which commits it; nothing that an
+    earlier state names is touched before that, so a crash leaves the store as it was."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, versions: int = 2):
+        self.spark, self.folder, self.versions = spark, folder.rstrip("/"), max(1, versions)
 
     def _path(self, table: str, version: str) -> str:
         return f"{self.folder}/{table}/v={version}"
 
-    def state(self) -> dict[str, str]:
-        from cinelake.sources.files import exists
+    def _states(self) -> list[tuple[int, str]]:
+        """(number, path) of all commits, oldest first."""
+        path = f"{self.folder}/_states"
+        names = [p for p, _, is_dir in files.listing(self.spark, path) if not is_dir] if files.exists(self.spark, path) else []
+        return sorted((int(m[1]), p) for p in names if (m := re.search(r"/(\d+)\.json$", p)))
 
-        path = f"{self.folder}/_state"
-        return {r.key: r.value for r in self.spark.read.parquet(path).collect()} if exists(self.spark, path) else {}
+    def state(self) -> dict[str, str]:
+        found = self._states()
+        return json.loads(files.read_text(self.spark, found[-1][1])) if found else {}
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self._path(table, self.state()["version"]))
 
     def commit(self, tables: dict[str, DataFrame], version: str, **meta: str) -> None:
+        before = self._states()
+        if before and self.state()["version"] == version:
+            raise ValueError(f"version {version} is in use")
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(self._path(name, version))
-        state = self.state() | meta | {"version": version}
-        self.spark.createDataFrame(sorted(state.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/_state")
+        number = before[-1][0] + 1 if before else 1
+        files.write_text(self.spark, f"{self.folder}/_states/{number:012d}.json", json.dumps(self.state() | meta | {"version": version}, sort_keys=True))
+        self._prune()
+
+    def _prune(self) -> None:
+        """Removes what only commits before the last few name."""
+        states = self._states()
+        held = {json.loads(files.read_text(self.spark, p))["version"] for _, p in states[-self.versions :]}
+        for _, path in states[: -self.versions]:
+            old = json.loads(files.read_text(self.spark, path))["version"]
+            if old not in held:
+                for table, _, is_dir in files.listing(self.spark, self.folder):
+                    if is_dir and not table.endswith("/_states"):
+                        files.remove(self.spark, f"{table}/v={old}")
+            files.remove(self.spark, path)
 
 
 def apply_day(store: Store, day: str, pages: DataFrame, recognise: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> bool:
-    """Applies one day's pages; a day that was applied before is left alone, an earlier one is refused.
+    """Applies one day's pages; a day that was applied before is left alone, an earlier one is refused, and so is one that
+    doesn't follow the last: its change files are kept for RETENTION_DAYS, after which a full dump has to be imported.
 
     recognise: pages (id, ns, title, text) -> claims (page_id, ...) and links (from_id, field, target)."""
     done = store.state().get("incr_through", "")
@@ -62,6 +92,9 @@ def apply_day(store: Store, day: str, pages: DataFrame, recognise: Callable[[Dat
         return False
     if day < done:
         raise ValueError(f"day {day} comes after {done} was applied")
+    if done and day != (following := next_day(done)):
+        gap = (datetime.strptime(day, "%Y%m%d") - datetime.strptime(done, "%Y%m%d")).days
+        raise ValueError(f"day {following} is missing: " + ("apply it first" if gap <= RETENTION_DAYS else "its files are no longer kept, import a full dump"))
     held, links = store.read("claims"), store.read("links")
     if not held.limit(1).count():
         raise ValueError("the store is empty: import a full dump first")

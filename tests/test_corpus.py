@@ -137,6 +137,37 @@ def test_dump_and_maps(spark, corpus, database):
     assert dumps.index(spark, f"{corpus}/wiki-pages-articles-multistream-index.txt.bz2").where("title = 'A: title: with colons'").count() == 1
 
 
+def test_streams_are_dealt_out(spark, tmp_path):
+    """A dump of many streams is read by many tasks, with the rows that the XML reader gives; only pages of indexed streams count."""
+    pages = [(i, f"A & B {i}", "x < y &amp; é\n" * (i % 7)) for i in range(40)]
+    parts, data, lines = xml(pages)[:-1], bz2.compress(b"<mediawiki>\n"), []
+    for i in range(0, 40, 5):
+        lines += [f"{len(data)}:{p[0]}:{p[1]}" for p in pages[i : i + 5]]
+        data += bz2.compress("".join(parts[i : i + 5]).encode())
+    path = tmp_path / "wiki-pages-articles-multistream.xml.bz2"
+    path.write_bytes(data + bz2.compress(b"</mediawiki>"))
+    (tmp_path / "index.txt").write_text("\n".join(lines))
+    found = dumps.multistream(spark, str(path), dumps.offsets(spark, str(tmp_path / "index.txt")), 2)
+    assert found.rdd.getNumPartitions() == 4
+    whole = dumps.pages(spark, str(path))
+    assert rows(found, "id", "ns", "title", "text") == rows(whole, "id", "ns", "title", "text") == sorted(((i, 0, t, x) for i, t, x in pages), key=str)
+    assert rows(dumps.pages(spark, f"file://{path}", str(tmp_path / "index.txt")), "id") == sorted(((i,) for i in range(40)), key=str)
+
+
+def test_quotes_cut_no_tuple(spark, tmp_path):
+    (tmp_path / "image.sql").write_text(r"INSERT INTO `image` VALUES ('A),(B.png',1,'x)'),('It\'s (1).jpg',2,'('),('C\\',3,'\'),(\'no.png\',');" + "\n" + "INSERT INTO `image` VALUES ('D.png',1,'" + "z" * 200_000 + "');\n")
+    assert {r.name for r in dumps.image_names(spark, str(tmp_path / "image.sql")).collect()} == {"A),(B.png", "C\\", "D.png", "It's (1).jpg"}
+
+
+def test_articles_are_recognised_once(spark, database, tmp_path):
+    """Tables are made of written claims: none of their plans recognises articles anew."""
+    fresh = recognise.claims(spark.createDataFrame([(i, 0, t, x) for i, t, x in PAGES], "id long, ns int, title string, text string"))
+    settled = publish.Database(fresh, database.qids, database.part_of, database.sequel_of, database.identifiers, database.local_images).settled(str(tmp_path))
+    plans = {n: df._jdf.queryExecution().toString() for n, df in settled.tables().items()}
+    assert "MapInArrow" in fresh._jdf.queryExecution().toString() and not any("MapInArrow" in p for p in plans.values())
+    assert rows(settled.credits, "person_id", "work_id", "role") == rows(database.credits, "person_id", "work_id", "role")
+
+
 def test_films(database):
     film = {r.id: r for r in database.movies.collect()}
     assert set(film) == {1, 2}
@@ -232,6 +263,13 @@ def test_days(spark, database, tmp_path):
     assert not reconcile.apply_day(store, "20260102", changed, recognised)
     with pytest.raises(ValueError):
         reconcile.apply_day(store, "20260101", changed, recognised)
+    with pytest.raises(ValueError, match="20260103 is missing: apply it first"):
+        reconcile.apply_day(store, "20260104", changed, recognised)
+    with pytest.raises(ValueError, match="import a full dump"):
+        reconcile.apply_day(store, "20260601", changed, recognised)
+    assert len(store._states()) == 2 and store.state() == {"incr_through": "20260102", "version": "20260102"}
+    assert reconcile.apply_day(store, "20260103", changed, recognised)
+    assert len(store._states()) == 2 and not (tmp_path / "store/claims/v=full").exists() and (tmp_path / "store/claims/v=20260102").exists()
 
 
 def test_feed(spark, database, tmp_path):

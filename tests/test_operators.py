@@ -245,3 +245,32 @@ def test_fill_first_and_owner(spark):
     one = lambda *x: spark.createDataFrame(list(x), "k long, o long")
     out = relational.owner_by_precedence(spark.createDataFrame([(1,), (2,), (3,)], "k long"), "k", [one((1, 10)), one((1, 20), (2, 20), (3, 99))], spark.createDataFrame([(10,), (20,)], "o long"), "o")
     assert rows(out, "k", "o") == [(1, 10), (2, 20)]
+
+
+def test_deep_digest(spark):
+    """A deeper tree has its own digest, which order and repetition of the input don't change."""
+    from cinelake.operators import release
+
+    df = spark.range(3000).selectExpr("id", "CAST(id % 7 AS STRING) AS x")
+    shallow = release.table_digest(df, ["id", "x"]).first()
+    deep = release.table_digest(df, ["id", "x"], leaf=1).first()
+    again = release.table_digest(df.repartition(5, "x"), ["id", "x"], leaf=1).first()
+    assert deep == again and deep.rows == shallow.rows == 3000 and deep.digest != shallow.digest
+    assert release.table_digest(df.where("id > 0"), ["id", "x"], leaf=1).first().digest != deep.digest
+
+
+def test_grams_of_a_long_text(spark):
+    """A text of a megabyte is indexed in linear time, with characters beyond the basic plane whole."""
+    import time
+
+    from cinelake.operators import search
+
+    text = ("lorem ipsum 😀 dolor " * 60_000)[:1_000_000]
+    df = spark.createDataFrame([(1, text), (2, "ab"), (3, None), (4, "a😀b")], "id long, t string")
+    began = time.time()
+    found = {(r.id, r.gram): r.tf for r in search.index(df, "id", ["t"]).collect()}
+    assert time.time() - began < 30
+    want = {}
+    for i in range(len(text) - 2):
+        want[1, text[i : i + 3]] = want.get((1, text[i : i + 3]), 0) + 1
+    assert found == want | {(4, "a😀b"): 1}

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +50,14 @@ def ship(spark: SparkSession, texts: bool = True) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder that driver and executors share (spark.checkpoint.dir): what is costly is done once, and
+    a lost executor costs no rerun. Only where driver and executors are one process a folder of our own does."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='cinelake-')}")
+    return df.checkpoint()

@@ -7,12 +7,14 @@ suffix positions. All phrases are searched backwards at once, occurrences are lo
 position, and overlapping removal spans are merged.
 
 The plan is one narrow pass over the documents: no shuffle, and a shard needs memory for about shard_bytes of text.
-The phrases are sent to the executors in blocks of at most block_words words; a larger benchmark takes several passes
-whose spans are merged by row.
+The phrases are sent to the executors in blocks of at most block_words words. A larger benchmark takes several passes, one after the
+other: each writes its spans and frees its block, and spans are merged by a row number that is written first, so that all passes
+mean the same rows.
 
 Defined results: null and wordless texts have no words and no hits; an item without words has no phrase; items with
 equal texts are all reported; a null item_id is reported as "null"; repeated documents are judged one by one; a null
-doc_id stays null; further columns are ignored.
+doc_id stays null; a very long text is a shard of its own; occurrences that overlap or touch count each word once, and items are told in the order of their ids;
+further columns are ignored; an empty table, or a benchmark without words, gives no hits.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import DOC_COLUMNS, column, slices, trimmed
+from ._util import DOC_COLUMNS, column, materialise, slices, trimmed
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -222,11 +224,10 @@ def _merge(parts: list[dict]) -> tuple[int, list[dict]]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row of docs(doc_id, text): words, words hit, items that occur, spans of words to remove."""
     spark = docs.sparkSession
-    parts = []
-    for block in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(Phrases(block, window))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-        def scan(batches, sent=sent):
+    def scan_for(sent):
+        def scan(batches):
             for batch in batches:
                 for part in slices(batch, "text", shard_bytes):
                     found = match_shard(column(part, "text"), sent.value)
@@ -234,15 +235,20 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byte
                     out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(data, _ARROW)], schema=_ARROW)
                     yield out if "row" not in part.schema.names else pa.RecordBatch.from_arrays([*out.columns, part.column(part.schema.get_field_index("row"))], schema=_ARROW.append(pa.field("row", pa.int64())))
 
-        parts.append(scan)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if len(parts) == 1:
-        return base.mapInArrow(trimmed(parts[0]), SCHEMA)
-    base = base.withColumn("row", F.monotonically_increasing_id())
+        return trimmed(scan)
+
+    blocks = _blocks(benchmark, block_words)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return base.mapInArrow(scan_for(spark.sparkContext.broadcast(Phrases(block, window))), SCHEMA)
+    base = materialise(base.withColumn("row", F.monotonically_increasing_id()), "rows", "zstd")
     all_parts = None
-    for scan in parts:
-        one = base.mapInArrow(trimmed(scan), SCHEMA + ", row long")
+    while block is not None:
+        sent = spark.sparkContext.broadcast(Phrases(block, window))
+        one = materialise(base.mapInArrow(scan_for(sent), SCHEMA + ", row long"), "spans", "zstd")
+        sent.destroy()
         all_parts = one if all_parts is None else all_parts.unionByName(one)
+        block, following = following, next(blocks, None)
 
     def join(batches):
         for batch in batches:
@@ -275,29 +281,46 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
 
     Removal joins what stood before and after a span, which may form a phrase anew; so texts that lost words are
     searched again."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(Phrases(b, window)) for b in _blocks(benchmark, block_words)]
     cols = [F.col(c).cast("long" if c in ("doc_id", "n_chars") else "string").alias(c) for c in DOC_COLUMNS]
 
-    def scan(batches):
-        for batch in batches:
-            for part in slices(batch, "text", shard_bytes):
-                texts = column(part, "text")
-                keep = [True] * len(texts)
-                changed, todo = set(), range(len(texts))
-                while len(todo):
-                    again = set()
-                    for sent in blocks:
-                        todo = list(todo)
+    def scan_for(sent):
+        def scan(batches):
+            for batch in batches:
+                for part in slices(batch, "text", shard_bytes):
+                    texts = column(part, "text")
+                    keep, changed, todo = [True] * len(texts), set(), list(range(len(texts)))
+                    while todo:
+                        again = []
                         for i, (n, hit, _, spans) in zip(todo, match_shard([texts[i] for i in todo], sent.value)):
                             if hit:
                                 texts[i] = remove_spans(texts[i], spans)
                                 keep[i] = hit < n
-                                again.add(i)
-                    changed |= again
-                    todo = sorted(i for i in again if keep[i])
-                data = {c: column(part, c) for c in DOC_COLUMNS} | {"text": texts}
-                for i in changed:
-                    data["n_chars"][i] = len(texts[i])
-                yield pa.RecordBatch.from_pydict({c: [x for x, k in zip(data[c], keep) if k] for c in DOC_COLUMNS}, schema=pa.schema([(c, pa.int64() if c in ("doc_id", "n_chars") else pa.string()) for c in DOC_COLUMNS]))
-
-    return docs.select(*cols).mapInArrow(trimmed(scan), "doc_id long, text string, lang string, source string, n_chars long")
+                                again.append(i)
+                        changed |= set(again)
+                        todo = [i for i in again if keep[i]]
+                    data = {c: column(part, c) for c in DOC_COLUMNS} | {"text": texts, "cut": [i in changed for i in range(len(texts))]}
+                    for i in changed:
+                        data["n_chars"][i] = len(texts[i])
+                    yield pa.RecordBatch.from_pydict({c: [x for x, k in zip(v, keep) if k] for c, v in data.items()}, schema=schema)
+
+        return trimmed(scan)
+
+    schema = pa.schema([*((c, pa.int64() if c in ("doc_id", "n_chars") else pa.string()) for c in DOC_COLUMNS), ("cut", pa.bool_())])
+    context, docs = docs.sparkSession.sparkContext, docs.select(*cols)
+    while True:
+        blocks, cut = _blocks(benchmark, block_words), False
+        block, following = next(blocks), next(blocks, None)
+        if following is None:
+            return docs.mapInArrow(scan_for(context.broadcast(Phrases(block, window))), CLEAN_SCHEMA).drop("cut")
+        while block is not None:
+            sent = context.broadcast(Phrases(block, window))
+            found = materialise(docs.mapInArrow(scan_for(sent), CLEAN_SCHEMA), "clean", "zstd")
+            sent.destroy()
+            cut = cut or found.where("cut").limit(1).count() > 0
+            docs = found.drop("cut")
+            block, following = following, next(blocks, None)
+        if not cut:  # what one block's removal joins, another block's phrases may match
+            return docs
+
+
+CLEAN_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cut boolean"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import column
+from ._util import column, materialise
 
 SCALE = 256
 K = 5
@@ -125,7 +125,11 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block_rows:
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     found = None
     queries = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    for block in _query_blocks(queries, block_rows):
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    blocks = _query_blocks(queries, block_rows)
+    block, following = next(blocks, None), next(blocks, None)
+    several = following is not None
+    while block is not None:
         sent = spark.sparkContext.broadcast(block)
 
         def scan(batches, sent=sent):
@@ -153,9 +157,10 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block_rows:
             for a in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a : a + 100_000])], schema=schema)
 
-        one = base.mapInArrow(scan, SCHEMA)
+        one = base.mapInArrow(scan, SCHEMA).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if several:  # one block after the other: each is written and makes room for the next
+            one = materialise(one, "topk", share=8)
+            sent.destroy()
         found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        block, following = following, next(blocks, None)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if found is None else found

@@ -79,3 +79,20 @@ def test_clean_leaves_no_phrase(shipped, make):
     assert set(out) == {1, 3, 4, 5}
     assert out[1].text == "Before, ! after." and out[1].n_chars == len(out[1].text)
     assert out[3].text == "clean text" and out[4].text.split() == ["stays"] and out[5].text is None
+
+
+def test_several_blocks_over_a_shuffled_input(shipped, make):
+    """Blocks searched one after the other find and remove what one block does, however rows are dealt out."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"b{i}w{k}" for k in range(14))) for i in range(6)]
+    # The third item's phrase only arises when the first one's words between its halves are gone.
+    halves = items[2][1].split()
+    docs = [(i, " ".join([*(f"x{rng.randint(0, 90)}" for _ in range(30)), *items[i % 6][1].split(), "tail"])) for i in range(30)]
+    docs += [(100, " ".join([*halves[:7], *items[0][1].split(), *halves[7:], "rest"])), (101, items[3][1]), (102, None), (103, "")]
+    bench = shipped.createDataFrame(items, "item_id long, text string")
+    whole, shuffled = make(docs), make(docs).repartition(7)
+    assert sorted(rows(dc.digest(dc.find(shuffled, bench, block_words=20))), key=str) == sorted(rows(dc.digest(dc.find(whole, bench))), key=str)
+    told = lambda df: sorted(((r.doc_id, r.text, r.n_chars) for r in df.collect()), key=str)
+    one, many = told(dc.clean(whole, bench)), told(dc.clean(shuffled, bench, block_words=20))
+    assert [(i, t.split() if t else t) for i, t, _ in one] == [(i, t.split() if t else t) for i, t, _ in many]
+    assert (100, ["rest"]) in [(i, t.split() if t else t) for i, t, _ in many] and 101 not in [i for i, *_ in many]

@@ -322,3 +322,39 @@ def lint(db: dict[str, DataFrame], claims: DataFrame | None = None, cap: int = 0
         out = out.unionByName(made(own, "a work credited as a person", "title", F.concat(F.col("l.field"), F.lit(" lists the article itself"))))
     out = out.dropDuplicates(["kind", "title", "detail"]).withColumn("url", expr.article_url("title"))
     return (relational.capped(out, "kind", ["title", "detail"], cap) if cap else out).orderBy("kind", "title", "detail")
+
+
+# Marks that are left where markup leaks into a name.
+LEAKS = ("[[", "<br")
+
+
+def leaks(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table, column, rows) of names that hold markup; nothing where all is well. Each table is scanned once."""
+    columns = columns or {"people": ["name"]}
+    out = None
+    for name, df in tables.items():
+        for_each = [F.struct(F.lit(c).alias("column"), F.sum(F.when(sum((F.contains(c, F.lit(m)).cast("int") for m in LEAKS), F.lit(0)) > 0, 1).otherwise(0)).alias("rows")) for c in columns.get(name, [])]
+        if for_each:
+            one = df.agg(F.array(*for_each).alias("x")).select(F.lit(name).alias("table"), F.inline("x")).where("rows > 0")
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("none of the tables has columns to look at")
+    return out
+
+
+def report(found: DataFrame, form: str = "text", cap: int = 0) -> str:
+    """Findings as text, as tab-separated rows, or as a wiki page; at most cap of each kind, with the counts of all."""
+    counts = {r.kind: r.n for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind").collect()}
+    shown = (relational.capped(found, "kind", ["title", "detail"], cap) if cap else found).orderBy("kind", "title", "detail").collect()
+    if form == "tsv":
+        return "".join("\t".join((r.kind, r.title, r.detail, r.url)) + "\n" for r in shown)
+    if form not in ("text", "wiki"):
+        raise ValueError(f"no report has the form {form}")
+    parts = []
+    for kind, n in counts.items():
+        rows = [r for r in shown if r.kind == kind]
+        if form == "wiki":
+            parts += [f"== {kind} ({n}) ==", *(f"* [[{r.title}]] — {r.detail}" for r in rows), ""]
+        else:
+            parts += [f"{kind} ({n})", *(f"  {r.title}: {r.detail}\n    {r.url}" for r in rows), ""]
+    return "\n".join([*parts, f"{sum(counts.values())} findings of {len(counts)} kinds", ""])

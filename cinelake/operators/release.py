@@ -179,6 +179,12 @@ def ordered(builds: Iterable[Build]) -> list[Build]:
     return sorted(builds, key=lambda b: (b.through, b.id))
 
 
+def nth_back(builds: Iterable[Build], n: int) -> str:
+    """The build so many places before the tip; '' where the catalog is shorter. Places count, not days, for days may be skipped."""
+    chain = ordered(builds)
+    return chain[-1 - n].id if 0 <= n < len(chain) else ""
+
+
 def newer(a: Build, b: Build) -> bool:
     return (a.through, a.id) > (b.through, b.id)
 

@@ -47,7 +47,10 @@ class Releases:
         return [release.Build(**(b | {"edges": [release.Edge(**e) for e in b["edges"]]})) for b in self._read("catalog.json").get("builds", [])]
 
     def _publish(self, build: release.Build, whole: str, tables: dict[str, str]) -> None:
-        self._write(f"{build.id}/manifest.json", {"content_hash_version": release.DIGEST_VERSION, "content_hash": whole, "tables": tables, "bytes": build.size})
+        root = f"{self.folder}/{build.id}"
+        held = [{"name": r.path.partition(f"/{build.id}/")[2], "bytes": r.bytes, "sha256": r.sha256} for r in files.checksums(self.spark, root).collect()]
+        named = sorted((f for f in held if f["name"].endswith(".parquet")), key=lambda f: f["name"])
+        self._write(f"{build.id}/manifest.json", {"content_hash_version": release.DIGEST_VERSION, "content_hash": whole, "tables": tables, "bytes": build.size, "files": named})
         self._write("catalog.json", {"builds": [asdict(b) for b in release.ordered([*self.catalog(), build])]})
 
     def tip(self) -> release.Build | None:

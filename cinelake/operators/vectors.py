@@ -6,7 +6,7 @@ import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = 255
@@ -40,6 +40,23 @@ def scale_arrays(bounds: DataFrame) -> tuple[list[float], list[float]]:
     return [r.lo for r in rows], [r.hi for r in rows]
 
 
+def write_scale(bounds: DataFrame, path: str) -> str:
+    """Freezes a scale under a path, and names it."""
+    bounds.select("dim", F.col("lo").cast("float"), F.col("hi").cast("float")).coalesce(1).write.mode("overwrite").parquet(path)
+    return scale_id(*scale_arrays(read_scale(bounds.sparkSession, path)))
+
+
+def read_scale(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("dim int, lo float, hi float").parquet(path)
+
+
+def clamped(vector: Column, lo: list[float], hi: list[float]) -> Column:
+    """How many of a vector's values lie beyond the frozen bounds, where quantise clamps them."""
+    bounds = F.array(*(F.struct(F.lit(a).cast("float").alias("lo"), F.lit(b).cast("float").alias("hi")) for a, b in zip(lo, hi)))
+    beyond = F.zip_with(vector, bounds, lambda x, b: F.when((b["hi"] > b["lo"]) & ((x.cast("float") < b["lo"]) | (x.cast("float") > b["hi"])), 1).otherwise(0))
+    return F.aggregate(beyond, F.lit(0), lambda n, x: n + x)
+
+
 def quantise(vector: Column, lo: list[float], hi: list[float]) -> Column:
     """Levels 0 to 255 of a vector's dimensions, in single precision; values beyond the frozen bounds are clamped."""
     bounds = F.array(*(F.struct(F.lit(a).cast("float").alias("lo"), F.lit(b).cast("float").alias("hi")) for a, b in zip(lo, hi)))

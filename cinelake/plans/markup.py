@@ -416,3 +416,15 @@ SELECT p_partkey, CASE WHEN length(p_name) <= 11 THEN p_name ELSE trim(CASE WHEN
 def f25_trim(t: Tables) -> DataFrame:
     """A cut falls back to a blank in the second half."""
     return t.part.select("p_partkey", _through(lambda s: w.trim(s, 11), "string")("p_name").alias("cut"))
+
+
+@query(
+    """
+SELECT 'part' AS "table", 'p_name' AS "column", count(*) AS rows FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 15 = 0
+UNION ALL SELECT 'supplier', 's_name', count(*) FROM supplier WHERE s_suppkey % 7 = 0"""
+)
+def p7_leaks(t: Tables) -> DataFrame:
+    """Names that hold markup, by table and column."""
+    part = t.part.select(F.expr("CASE WHEN p_partkey % 10 = 0 THEN p_name || '<br />' WHEN p_partkey % 15 = 0 THEN '[[' || p_name ELSE p_name END").alias("p_name"), "p_type")
+    supplier = t.supplier.select(F.expr("CASE WHEN s_suppkey % 7 = 0 THEN '[[x]]' ELSE s_name END").alias("s_name"))
+    return publish.leaks({"part": part, "supplier": supplier, "nation": t.nation}, {"part": ["p_name", "p_type"], "supplier": ["s_name"]})

@@ -103,3 +103,10 @@ def v6_compose(t: Tables) -> DataFrame:
     genres = [r[0] for r in t.part.select("p_type").distinct().orderBy("p_type").collect()]
     out = v.compose(rows, "vec_id", "embedding", F.array("p_type"), F.lit("1990s"), genres, ["1980s", "1990s"])
     return out.select("vec_id", F.size("vector").alias("dims"), F.round(v.dot(F.col("vector"), F.col("vector")), 6).alias("norm"))
+
+
+@query("SELECT vec_id, CAST(len(list_filter(embedding, lambda x: CAST(x AS FLOAT) < CAST(-0.1 AS FLOAT) OR CAST(x AS FLOAT) > CAST(0.15 AS FLOAT))) AS INTEGER) AS n_clamped FROM embeddings")
+def v4_clamped(t: Tables) -> DataFrame:
+    """Values of each vector beyond frozen bounds."""
+    n = t.embeddings.select(F.size("embedding")).first()[0]
+    return t.embeddings.select("vec_id", v.clamped(F.col("embedding"), [-0.1] * n, [0.15] * n).alias("n_clamped"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -77,3 +78,22 @@ def remove(spark: SparkSession, path: str) -> None:
     """Removes a file or a folder with all that it holds."""
     fs, p = _fs(spark, path)
     fs.delete(p, True)
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of a file, or of all files below a folder; files are hashed side by side, each of up to 2 GB."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def copy_verified(spark: SparkSession, source: str, target: str, sha256: str) -> None:
+    """Copies a file beside its place, compares its digest, and only then renames it; what differs is removed and refused."""
+    (fs, p), (to, t) = _fs(spark, source), _fs(spark, target)
+    partial = t.suffix(".partial")
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, partial, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+    found = checksums(spark, partial.toString()).first()["sha256"]
+    if found != sha256:
+        to.delete(partial, False)
+        raise ValueError(f"{source} has the digest {found}, not {sha256}")
+    to.rename(partial, t)

@@ -3,6 +3,7 @@
 import bz2
 import gzip
 import json
+import shutil
 from pathlib import Path
 
 import pytest
@@ -288,3 +289,43 @@ def test_feed(spark, database, tmp_path):
     assert store.state()["incr_through"] == "20260104"
     assert {r.page_id for r in store.read("claims").where("kind = 'movie'").collect()} == {1, 30}
     assert Path(str(tmp_path / "store")).exists()
+
+
+def test_commands_and_requests(spark, corpus, tmp_path, capsys):
+    """The commands build, search and lint; requests return plain values."""
+    from cinelake import __main__ as command
+    from cinelake.operators import handlers
+
+    # The same dump, with an index that tells where its streams begin.
+    source, out = tmp_path / "dumps", str(tmp_path / "db")
+    shutil.copytree(corpus, source)
+    (source / "entities.json").rename(source / "all.json")
+    parts, data, lines = xml(PAGES), bz2.compress(b"<mediawiki>\n"), []
+    for chunk in (range(5), range(5, len(parts))):
+        lines += [f"{len(data)}:{PAGES[i][0]}:{PAGES[i][1]}" for i in chunk if i < len(PAGES)]
+        data += bz2.compress("".join(parts[i] for i in chunk).encode())
+    (source / "wiki-pages-articles-multistream.xml.bz2").write_bytes(data + bz2.compress(b"</mediawiki>"))
+    (source / "wiki-pages-articles-multistream-index.txt.bz2").write_bytes(bz2.compress("\n".join(lines).encode()))
+    assert command.build(spark, str(source), out) == ["database", "indexes"] and command.build(spark, str(source), out) == []
+    command.main(["search", out, "star road", "--limit", "2"])
+    assert "Star Road (1999)" in capsys.readouterr().out
+    db = command.library(spark, out)
+    ask = lambda path, **params: handlers.handle(db, path, params)
+    assert ask("/api/search", q="star road")[0]["title"] == "Star Road" and ask("/api/television", q="long days")[0]["title"] == "Long Days"
+    assert {r["type"] for r in ask("/api/all", q="road")} >= {"movie"} and ask("/api/events", q="road awards") and ask("/api/people", q="jane doe")[0]["name"] == "Jane Doe"
+    assert ask("/movie", id="1")["id"] == 1 and ask("/television", id="5")["seasons"] and ask("/event", id="8")["id"] == 8
+    who = ask("/person", name="Jane Doe")
+    assert who["bio"] is not None and who["works"]
+    for path, params in (("/movie", {"id": "999"}), ("/person", {"name": "No One"}), ("/person", {"id": "x"}), ("/nowhere", {})):
+        with pytest.raises(handlers.NotFound):
+            ask(path, **params)
+    command.main(["lint", out, "--form", "tsv"])
+
+
+def test_reports(spark):
+    found = spark.createDataFrame([("k", "A", "x", "u/A"), ("k", "B", "y", "u/B"), ("l", "C", "z", "u/C")], "kind string, title string, detail string, url string")
+    assert publish.report(found, "tsv") == "k\tA\tx\tu/A\nk\tB\ty\tu/B\nl\tC\tz\tu/C\n"
+    assert "== k (2) ==\n* [[A]] — x\n\n== l (1) ==" in publish.report(found, "wiki", 1)
+    assert publish.report(found, cap=1).endswith("3 findings of 2 kinds\n") and "[[" not in publish.report(found)
+    with pytest.raises(ValueError):
+        publish.report(found, "html")

@@ -274,3 +274,32 @@ def test_grams_of_a_long_text(spark):
     for i in range(len(text) - 2):
         want[1, text[i : i + 3]] = want.get((1, text[i : i + 3]), 0) + 1
     assert found == want | {(4, "a😀b"): 1}
+
+
+def test_checksums_and_verified_copies(spark, tmp_path):
+    import hashlib
+
+    from cinelake.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.bin").write_bytes(b"content")
+    good = hashlib.sha256(b"content").hexdigest()
+    assert [(r.bytes, r.sha256) for r in files.checksums(spark, str(tmp_path / "a")).collect()] == [(7, good)]
+    files.copy_verified(spark, str(tmp_path / "a/x.bin"), str(tmp_path / "y.bin"), good)
+    assert (tmp_path / "y.bin").read_bytes() == b"content"
+    with pytest.raises(ValueError):
+        files.copy_verified(spark, str(tmp_path / "a/x.bin"), str(tmp_path / "z.bin"), "0")
+    assert not (tmp_path / "z.bin").exists() and not (tmp_path / "z.bin.partial").exists()
+
+
+def test_scales_and_places_in_the_catalog(spark, tmp_path):
+    from cinelake.operators import release, vectors
+
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [2.0, 1.0])], "id long, v array<float>")
+    name = vectors.write_scale(vectors.scale(df, "v"), str(tmp_path / "scale"))
+    lo, hi = vectors.scale_arrays(vectors.read_scale(spark, str(tmp_path / "scale")))
+    assert (lo, hi) == ([0.0, 1.0], [2.0, 1.0]) and name == vectors.scale_id(lo, hi)
+    beyond = spark.createDataFrame([(1, [3.0, 9.0]), (2, [1.0, 1.0]), (3, [-1.0, 1.0])], "id long, v array<float>")
+    assert [r[0] for r in beyond.orderBy("id").select(vectors.clamped(F.col("v"), lo, hi)).collect()] == [1, 0, 1]
+    builds = [release.Build(f"b{i}", "daily", f"2026010{i}") for i in (3, 1, 2)]
+    assert [release.nth_back(builds, n) for n in range(4)] == ["b3", "b2", "b1", ""]

@@ -206,9 +206,9 @@ def x3_series(t: Tables) -> DataFrame:
 @query(
     f"""
 SELECT {3 * MANY} + s_suppkey AS series_id, season, num_episodes, first_aired, last_aired, network, viewers, rank FROM supplier, LATERAL (VALUES
-  (1, 2, {V["begun"]} || '-01-05', {V["begun"]} || '-02-05', '', 5.5, 7),
-  (2, 1, {V["ended"]} || '-01-06', {V["ended"]} || '-02-06', {V["network"]}, 0.0, 0),
-  (3, 1, '', '', '', 0.0, 0)) v(season, num_episodes, first_aired, last_aired, network, viewers, rank)"""
+  (1, 2, {V["begun"]} || '-01-05', {V["begun"]} || '-02-05', '', 5.5e0, 7),
+  (2, 1, {V["ended"]} || '-01-06', {V["ended"]} || '-02-06', {V["network"]}, 0e0, 0),
+  (3, 1, '', '', '', 0e0, 0)) v(season, num_episodes, first_aired, last_aired, network, viewers, rank)"""
 )
 def b10_seasons(t: Tables) -> DataFrame:
     """Seasons out of overviews, season articles and episodes."""
@@ -218,10 +218,10 @@ def b10_seasons(t: Tables) -> DataFrame:
 @query(
     f"""
 SELECT {3 * MANY} + s_suppkey AS series_id, season, number_in_season, number_overall, title, air_date, viewers, prod_code FROM supplier, LATERAL (VALUES
-  (1, 1, 1, 'Pilot ' || s_suppkey, {V["begun"]} || '-01-05', 3.25, '1A / 1B'),
-  (1, 2, 2, '"Second"', {V["begun"]} || '-02-12', 0.0, ''),
-  (2, 1, 3, 'Return', {V["ended"]} || '-01-06', 1.5, ''),
-  (3, 1, 9, 'Late', {V["ended"]} || '-03-04', 0.0, '')) v(season, number_in_season, number_overall, title, air_date, viewers, prod_code)"""
+  (1, 1, 1, 'Pilot ' || s_suppkey, {V["begun"]} || '-01-05', 3.25e0, '1A / 1B'),
+  (1, 2, 2, '"Second"', {V["begun"]} || '-02-12', 0e0, ''),
+  (2, 1, 3, 'Return', {V["ended"]} || '-01-06', 1.5e0, ''),
+  (3, 1, 9, 'Late', {V["ended"]} || '-03-04', 0e0, '')) v(season, number_in_season, number_overall, title, air_date, viewers, prod_code)"""
 )
 def b8_episodes(t: Tables) -> DataFrame:
     return _database(t).television_episodes.select(*(F.col(c).cast("int").alias(c) for c in ("season", "number_in_season", "number_overall")), "series_id", "title", "air_date", "viewers", "prod_code")
@@ -244,10 +244,10 @@ def x4_events(t: Tables) -> DataFrame:
 @query(
     f"""
 SELECT {6 * MANY} + r_regionkey AS schedule_id, 'Monday' AS day, 'Net ' || r_regionkey AS network, part, start, "end", title, show_id, rerun, rank, rating FROM region, LATERAL (VALUES
-  ('Fall', '20:00', '20:30', 'First', {3 * MANY + 1}, 1, 0, 0.0),
-  ('Fall', '20:30', '21:30', 'Unknown show', 0, 0, 1 + r_regionkey, 15.5),
-  ('Winter', '20:00', '20:30', 'Plain', 0, 0, 0, 0.0),
-  ('Winter', '21:00', '21:30', 'Show 2 (TV series)', {3 * MANY + 2}, 0, 0, 0.0)) v(part, start, "end", title, show_id, rerun, rank, rating)"""
+  ('Fall', '20:00', '20:30', 'First', {3 * MANY + 1}, 1, 0, 0e0),
+  ('Fall', '20:30', '21:30', 'Unknown show', 0, 0, 1 + r_regionkey, 15.5e0),
+  ('Winter', '20:00', '20:30', 'Plain', 0, 0, 0, 0e0),
+  ('Winter', '21:00', '21:30', 'Show 2 (TV series)', {3 * MANY + 2}, 0, 0, 0e0)) v(part, start, "end", title, show_id, rerun, rank, rating)"""
 )
 def x5_schedule_slots(t: Tables) -> DataFrame:
     return _database(t).schedule_slots.select("schedule_id", "day", "network", "part", "start", "end", "title", "show_id", "rerun", "rank", "rating")

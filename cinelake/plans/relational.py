@@ -180,6 +180,12 @@ def j18_orphans(t: Tables) -> DataFrame:
     return r.orphans(t.customer, t.orders, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)")
+def j18_orphans_found(t: Tables) -> DataFrame:
+    """Of fewer orders: customers that none of them names."""
+    return r.orphans(t.customer, t.orders.where("o_orderkey % 40 = 0"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 5000) AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def j19_removals(t: Tables) -> DataFrame:
     return r.lost_but_alive(t.orders, t.orders.where("o_totalprice > 5000"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")

@@ -194,6 +194,12 @@ def q13_series_view(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_episodes"), F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",").alias("episodes"))
 
 
-@query()
+@query(
+    """
+WITH d AS (SELECT p_partkey, hex(encode('part' || chr(31) || p_partkey || chr(31) || p_name || chr(31))) AS h FROM part),
+b AS (SELECT p_partkey, list_transform(range(1, length(h), 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS HUGEINT)) AS bytes FROM d),
+f AS (SELECT p_partkey, list_reduce(list_prepend(CAST('14695981039346656037' AS HUGEINT), bytes), lambda h, x: (xor(h, x) * 1099511628211) % CAST('18446744073709551616' AS HUGEINT)) % 4611686018427387904 AS h FROM b)
+SELECT p_partkey, CAST(CASE WHEN h = 0 THEN 1 ELSE h END AS BIGINT) AS id FROM f"""
+)
 def f15_stable_id(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", expr.stable_id(F.lit("part"), F.col("p_partkey"), F.col("p_name")).alias("id"))

@@ -52,12 +52,19 @@ def ship(spark: SparkSession, texts: bool = True) -> None:
     _shipped.add(app)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder that driver and executors share (spark.checkpoint.dir): what is costly is done once, and
-    a lost executor costs no rerun. Only where driver and executors are one process a folder of our own does."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Only where they are one process a folder of our own does."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='cinelake-')}")
+        found = f"file://{tempfile.mkdtemp(prefix='cinelake-')}"
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder: what is costly is done once, and a lost executor costs no rerun."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

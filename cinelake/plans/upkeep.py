@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bz2
 import uuid
+from html import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from cinelake.operators import store
 from cinelake.plans._base import Tables, query
 from cinelake.session import shared_folder
-from cinelake.sources import dumps
+from cinelake.sources import dumps, files, records
 from cinelake.streaming import reconcile
 
 
@@ -83,3 +85,26 @@ def s9_image_names(t: Tables) -> DataFrame:
     lines = t.part.groupBy(F.expr("p_partkey % 16").alias("line")).agg(F.array_join(F.collect_list(row), ",").alias("rows"))
     lines.select(F.concat(F.lit("INSERT INTO `image` VALUES "), "rows", F.lit(";")).alias("value")).write.text(path)
     return dumps.image_names(t.spark, path)
+
+
+@query("SELECT c_custkey AS page_id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey <> 0")
+def s17_records(t: Tables) -> DataFrame:
+    """Records written in shards and read back; one without an id, or of id 0, is no entity."""
+    folder = _folder(t, "records")
+    rows = t.customer.selectExpr("CAST(c_custkey AS BIGINT) AS page_id", "c_name AS name", "CAST(c_acctbal AS DOUBLE) AS balance")
+    records.write_records(rows.unionByName(t.region.selectExpr("0L AS page_id", "r_name AS name", "CAST(1 AS DOUBLE) AS balance")), folder)
+    return records.read_records(t.spark, folder, "page_id long, name string, balance double")
+
+
+@query("SELECT n_nationkey AS id, 0 AS ns, 'A & ' || n_name AS title, 'Text of <' || n_name || '>' || chr(10) || 'é' AS text FROM nation")
+def s1_streams(t: Tables) -> DataFrame:
+    """A dump of several streams, which are dealt out by its index; of several revisions the last one counts."""
+    folder, data, lines = _folder(t, "dump"), bz2.compress(b"<mediawiki>\n"), []
+    nations = t.nation.select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows at every size
+    for i in range(0, len(nations), 4):
+        lines += [f"{len(data)}:{r.n_nationkey}:A & {r.n_name}" for r in nations[i : i + 4]]
+        pages = (f"<page><title>{escape(f'A & {r.n_name}')}</title><ns>0</ns><id>{r.n_nationkey}</id><revision><id>1</id><text>old</text></revision><revision><text xml:space='preserve'>{escape(f'Text of <{r.n_name}>')}\né</text></revision></page>" for r in nations[i : i + 4])
+        data += bz2.compress("\n".join(pages).encode())
+    files.write_bytes(t.spark, f"{folder}/dump.xml.bz2", data + bz2.compress(b"</mediawiki>"))
+    files.write_text(t.spark, f"{folder}/index.txt", "\n".join(lines))
+    return dumps.pages(t.spark, f"{folder}/dump.xml.bz2", f"{folder}/index.txt")

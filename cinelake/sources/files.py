@@ -61,11 +61,15 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside its place and renames it over what stood there: a reader finds the old text or the new one, never none."""
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file beside its place and renames it over what stood there: a reader finds the old data or the new, never none."""
     fs, p = _fs(spark, path)
     beside = p.suffix(".partial")
     out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data))
     out.close()
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,15 +51,18 @@ def owner_by_precedence(items: DataFrame, key: str, sources: Sequence[DataFrame]
     return out.withColumn(owner, F.coalesce(*names)).drop(*names).join(known.select(owner), owner, "left_semi")
 
 
-def overlapping(slots: DataFrame, keys: Sequence[str], apart: str, start: str, end: str, name: str, bucket: Column | None = None) -> DataFrame:
+def overlapping(slots: DataFrame, keys: Sequence[str], apart: str, start: str, end: str, name: str, buckets: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Pairs of slots that share their keys, differ in apart, and overlap in time; each pair once, the smaller name first.
 
-    An equi-join on the keys; the overlap is a residual condition."""
-    a, b = slots.alias("a"), slots.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    cond = (F.col(f"a.{apart}") != F.col(f"b.{apart}")) & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"a.{end}") > F.col(f"b.{start}")) & (F.col(f"a.{name}") < F.col(f"b.{name}"))
-    for s in same:
-        cond = s & cond
+    An equi-join on the keys and on a span of time, with the overlap as a residual condition. buckets: start, end -> the numbers, in a row, of the
+    spans that a slot reaches into; so slots that are far apart never meet, however many share their keys. A pair is told in the first span that both reach."""
+    reach = buckets(F.col(start), F.col(end)) if buckets else F.array(F.lit(0))
+    spread = slots.withColumn("_reach", reach).withColumn("_first", F.col("_reach")[0]).withColumn("_span", F.explode("_reach")).drop("_reach")
+    a, b = spread.alias("a"), spread.alias("b")
+    cond = (F.col("a._span") == F.col("b._span")) & (F.col("a._span") == F.greatest("a._first", "b._first"))
+    for k in keys:
+        cond = (F.col(f"a.{k}") == F.col(f"b.{k}")) & cond
+    cond = cond & (F.col(f"a.{apart}") != F.col(f"b.{apart}")) & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"a.{end}") > F.col(f"b.{start}")) & (F.col(f"a.{name}") < F.col(f"b.{name}"))
     return a.join(b, cond).select(*(F.col(f"a.{k}") for k in keys), F.col(f"a.{name}").alias("left"), F.col(f"b.{name}").alias("right"))
 
 

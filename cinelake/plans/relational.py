@@ -167,7 +167,8 @@ def j16_interval_overlap(t: Tables) -> DataFrame:
         day("l_shipdate").alias("start"),
         day(F.col("l_shipdate") + F.expr("INTERVAL 40 DAYS")).alias("end"),
     )
-    return r.overlapping(slots, ["day", "part"], "network", "start", "end", "slot")
+    month = lambda c: F.floor(F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")) / 40)
+    return r.overlapping(slots, ["day", "part"], "network", "start", "end", "slot", lambda s, e: F.sequence(month(s), month(e)))
 
 
 @query("SELECT p_partkey, p_partkey IN (SELECT s_suppkey FROM supplier) AS local FROM part")

@@ -303,3 +303,14 @@ def test_scales_and_places_in_the_catalog(spark, tmp_path):
     assert [r[0] for r in beyond.orderBy("id").select(vectors.clamped(F.col("v"), lo, hi)).collect()] == [1, 0, 1]
     builds = [release.Build(f"b{i}", "daily", f"2026010{i}") for i in (3, 1, 2)]
     assert [release.nth_back(builds, n) for n in range(4)] == ["b3", "b2", "b1", ""]
+
+
+def test_overlaps_within_spans(spark):
+    """Spans of time change no pair: each overlap is told once, also where slots reach over several spans or repeat."""
+    rng = np.random.default_rng(6)
+    slots = [(int(i), int(rng.integers(0, 3)), int(rng.integers(0, 4)), int(s := rng.integers(0, 300)), int(s + rng.integers(1, 60))) for i in range(200)]
+    df = spark.createDataFrame(slots, "slot long, day long, network long, start long, end long")
+    want = sorted((a[1], a[0], b[0]) for a in slots for b in slots if a[1] == b[1] and a[2] != b[2] and a[3] < b[4] and a[4] > b[3] and a[0] < b[0])
+    for buckets in (None, lambda s, e: F.sequence(F.floor(s / 25), F.floor(e / 25))):
+        found = relational.overlapping(df, ["day"], "network", "start", "end", "slot", buckets)
+        assert sorted(tuple(r) for r in found.collect()) == want and found.columns == ["day", "left", "right"]

@@ -29,8 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/cinelake/{tag}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/cinelake/{tag}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def written() -> int:
+    """How many intermediate tables this process has named so far; a mark for sweep()."""
+    return len(_paths)
+
+
+def sweep(spark: SparkSession, mark: int, keep: str | None = None) -> None:
+    """Removes the intermediate tables named since a mark, but one. Only for tables that nothing reads any more."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in _paths[mark:]:
+        if path != keep:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    _paths[mark:] = [keep] if keep is not None else []
+
+
+def last_path() -> str:
+    return _paths[-1]
 
 
 def materialise(df: DataFrame, tag: str, compression: str = "snappy", share: int = 0) -> DataFrame:

@@ -1,7 +1,9 @@
 import zlib
 
+import pytest
+
 import corpus_pipeline
-from cinelake.llm import decontaminate, near_dedup, packing
+from cinelake.llm import _util, decontaminate, near_dedup, packing
 from cinelake.llm.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -36,8 +38,23 @@ def test_stages(shipped, sample):
 
 
 def test_run(shipped):
+    mark = _util.written()
     first = corpus_pipeline.run(shipped, FOLDER)
     assert first.columns == list(packing.NAMES) and first.count() > 100
+    # Of what the stages before the last wrote, only the last one's input is left.
+    left = [p.rpartition("/")[2].rpartition("-")[0] for p in _util._paths[mark:]]
+    assert left[0] == "secret_scans" and "minhash_near_dedup" not in left and "members" not in left
+
+
+def test_sweep(shipped, sample):
+    mark = _util.written()
+    kept = _util.materialise(sample.limit(3), "kept")
+    path = _util.last_path()
+    gone = _util.materialise(sample.limit(2), "gone")
+    _util.sweep(shipped, mark, path)
+    assert kept.count() == 3 and _util.written() == mark + 1
+    with pytest.raises(Exception):
+        gone.count()
 
 
 def test_empty_documents(shipped, sample):

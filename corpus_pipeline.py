@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm import decontaminate, near_dedup, packing, quality, secrets
-from cinelake.llm._util import DOC_COLUMNS, materialise
+from cinelake.llm._util import DOC_COLUMNS, last_path, materialise, sweep, written
 from cinelake.session import ship
 
 
@@ -71,9 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of all documents that the stages keep. What a stage has written on its way goes as soon as its result is written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = materialise(docs, name, "zstd")
+            sweep(spark, mark, last_path())
     return docs

@@ -79,3 +79,17 @@ def test_different_texts_of_one_id_stay(shipped, make):
     assert sorted((r.doc_id, r.text) for r in out.where("text <> ''").collect()) == [(1, a)]
     apart = make([(4, a), (4, b), (4, a)])
     assert sorted(r.text for r in corpus_pipeline.minhash_near_dedup(shipped, apart, FOLDER).collect()) == [a, b]
+
+
+def test_packing_asks_all_documents(shipped, sample):
+    """In the last stage a query is followed by the best of all documents that went to it."""
+    held = packing.encoded(sample, packing.default_tokenizer(), packing.SHARD_BYTES, 1)
+    df, n, mean, _ = packing.frequencies(held)
+    ids = {r.row: r.doc_id for r in held.select("row", "doc_id").collect()}
+    rows, queries, places = packing.claimed(packing.asked(held, df, n, mean), packing.WINDOW)
+    first = {}
+    for row, query, _ in sorted(zip(rows, queries, places), key=lambda x: x[2]):
+        first.setdefault(ids[query], ids[row])
+    pieces = sorted(corpus_pipeline.lexical_packing(shipped, sample, FOLDER).collect(), key=lambda p: (p.sequence_id, p.offset))
+    follows = {a.doc_id: b.doc_id for a, b in zip(pieces, pieces[1:]) if a.start + a.length == a.doc_tokens}
+    assert len(first) > 5 and all(follows[q] == d for q, d in first.items())

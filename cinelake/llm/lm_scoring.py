@@ -12,10 +12,13 @@ generalised Stirling numbers, up to SMALL customers; larger dishes are seated an
 other tables as the sweep before left them, and the root as the bucket's own tables tell it; the probabilities take the root of all buckets.
 
 Distribution: a bucket has all tokens that follow its words, with the pairs above them, so it samples these restaurants alone; a first pass
-over the buckets gives the root its customers, a second one repeats the same seatings (seeded by bucket) and scores every occurrence. A word
-before more than a bucket's share of tokens is learned in parts, each of some documents (by id and stretch of PART_TOKENS tokens) with
-restaurants of its own; so no word, pair, start or text holds a bucket of its own size. There is a bucket for every BUCKET_TOKENS training tokens,
-at least LEAST_BUCKETS, by the data alone. The most frequent words (heads, a table of fixed size) travel as two bytes, and what the
+over the buckets gives the root its customers, a second one repeats the same seatings (seeded by bucket) and scores every occurrence. There is a
+bucket for every BUCKET_TOKENS training tokens, at least LEAST_BUCKETS, by the data alone. The tokens after a word that precedes more than a
+bucket's share of them (a split word) are dealt to buckets in parts, each of some documents (by id and stretch of PART_TOKENS tokens), so no word,
+pair, start or text holds a bucket of its own size; but the word's restaurants are one for the whole corpus. Each part says how often it has
+which cells (pair and next word); groups of whole pairs add up the counts of all parts and seat their customers, ranges of words add up what all pairs
+send to the dishes of a split word and seat these, and parts are told both. So a group holds cells, not tokens. While a group draws tables, it knows the
+dishes of its word by its own pairs, and a range the numbers of tables of a split word by its own words; the probabilities take all. The most frequent words (heads, a table of fixed size) travel as two bytes, and what the
 root says of them is sent to all; tokens of all other words go on, with what their contexts say, to hash ranges of words. Sums return to the texts by slice of
 the input.
 
@@ -30,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,6 +46,7 @@ SLICE = 8 << 20
 LEAST_BUCKETS = 64
 BUCKET_TOKENS = 1_000_000  # training tokens of the corpus for each bucket
 PART_TOKENS = 1 << 16
+GROUP_PARTS = 2  # parts of a split word for each group of its pairs
 D, A = 0.75, 1.0  # discount and strength of contexts
 E, B = 0.6, 1.0  # of the root
 BURN, SAMPLES = 3, 4
@@ -66,6 +71,11 @@ def _range(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _part_keys(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    mixed = (key ^ (part + np.uint64(1))) * _MIX
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 class Slice:
     """Tokens of some texts: hash and text."""
 
@@ -89,7 +99,7 @@ class Slice:
         return out
 
     def contexts(self, place: np.ndarray, parts: np.ndarray, start_parts: int, ids: list) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token, the restaurant of the word before it, and a number for the word before that one: its rank, or bits of its hash."""
+        """Of each token, the word before it or that word's part, and a number for the word before that one: its rank, or bits of its hash."""
         key = self.before(self.hash, START)
         n = self.before(np.append(parts, 1)[place], start_parts)
         split = np.flatnonzero(n > 1)
@@ -97,8 +107,7 @@ class Slice:
             seed = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) for i in ids], np.uint64)
             stretch = ((split - self.first[self.doc[split]]) // PART_TOKENS).astype(np.uint64)
             part = (seed[self.doc[split]] + stretch * _MIX) % n[split].astype(np.uint64)
-            mixed = (key[split] ^ (part + np.uint64(1))) * _MIX
-            key[split] = mixed ^ (mixed >> np.uint64(29))
+            key[split] = _part_keys(key[split], part)
         return key, self.before(self.before(np.where(place < 0, self.hash & np.uint64(0xFFFFFFFF) | np.uint64(1 << 16), place.astype(np.uint64)), HEADS - 1), HEADS - 1).astype(np.uint32)
 
 
@@ -118,6 +127,35 @@ class Heads:
         return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
 
+class Split:
+    """Words (and the start) before more than a bucket's share of tokens: the keys of their parts, and the groups of their pairs."""
+
+    def __init__(self, heads: Heads, parts: np.ndarray, start_parts: int):
+        self.parts, self.start_parts = parts, start_parts
+        n = np.append(parts, start_parts).astype(np.int64)
+        words = np.flatnonzero(n > 1)
+        n = n[words]
+        of = np.repeat(np.arange(len(words)), n)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        keys = _part_keys(np.append(heads.hashes, np.uint64(START))[words][of], part.astype(np.uint64))
+        order = np.argsort(keys)
+        self.keys, self.of = keys[order], of[order]
+        self.groups = -(-n // GROUP_PARTS)
+        self.first = np.cumsum(self.groups) - self.groups
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the words whose parts these are, -1 for others."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.of[at], -1)
+
+    def group(self, of: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """Groups of pairs."""
+        mixed = (above.astype(np.uint64) + np.uint64(1)) * _MIX >> np.uint64(32)
+        return self.first[of] + (mixed % self.groups[of].astype(np.uint64)).astype(np.int64)
+
+
 def _trains(ids: list, mod: int, held: int) -> np.ndarray:
     return np.array([(r := crc_remainder(i, mod)) is not None and r != held for i in ids], bool)
 
@@ -171,7 +209,7 @@ def seat(customers: np.ndarray, others: np.ndarray, p: np.ndarray, discount: flo
 class Chain:
     """Samples of the seatings in the restaurants of some words and the pairs above them.
 
-    key, above, word: numbers of the word before a token, of the one before that, and of its own; trains: whether it is a customer. Tokens that
+    key, above, word: numbers of the word before a token, of the one before that, and of its own; trains: whether it is a customer, or how many. Tokens that
     are none don't change the samples."""
 
     def __init__(self, key: np.ndarray, above: np.ndarray, word: np.ndarray, trains: np.ndarray, seed: int):
@@ -181,7 +219,7 @@ class Chain:
         self.pair, cell_word = cells >> 32, cells & 0xFFFFFFFF
         lower, self.lower = np.unique(pairs[self.pair] >> 32 << 32 | cell_word, return_inverse=True)
         self.key, self.word = lower >> 32, lower & 0xFFFFFFFF
-        self.count = np.bincount(self.cell, trains, len(cells)).astype(np.int64)
+        self.count = np.rint(np.bincount(self.cell, trains, len(cells))).astype(np.int64)
         n_keys, n_words, n_pairs, n_lower = int(self.key.max(initial=-1)) + 1, int(self.word.max(initial=-1)) + 1, len(pairs), len(lower)
         # Most dishes have one customer, so one table: only the tables beyond the first are summed anew in a sweep.
         one = np.minimum(self.count, 1)
@@ -232,6 +270,30 @@ class Chain:
         x[self.many] -= D * beyond / whole[self.pair[self.many]]
         return x / SAMPLES, y / SAMPLES
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each cell, x and y of the averaged probability x + y p(w | v); of each word's dish, the average of its customers."""
+        whole = A + np.bincount(self.pair, self.count, len(self.pair_ones))
+        more, customers, of_pair = (sum(x[i] for x in self.samples) / SAMPLES for i in (0, 1, 3))
+        x = (self.count - D * self.one) / whole[self.pair]
+        x[self.many] -= D * more / whole[self.pair[self.many]]
+        return x, ((A + D * of_pair) / whole)[self.pair], customers
+
+
+def seat_dishes(of: np.ndarray, word: np.ndarray, customers: np.ndarray, root: np.ndarray, ranges: int, seed: int) -> np.ndarray:
+    """Average numbers of tables of the dishes of split words in one range of words. root: the root's customers of each word from other words."""
+    rng = np.random.default_rng(seed)
+    tables, mean = np.ones(len(of), np.int64), np.zeros(len(of))
+    known = len(root)
+    for i in range(BURN + SAMPLES):
+        now = root + np.bincount(word, tables, known)
+        # The range's own words stand for those of all ranges.
+        p = (now - E * (now > 0) + (B + E * known) / (known + 1)) / (B + now.sum()) / ranges
+        of_word = np.bincount(of, tables) * ranges
+        tables = seat(customers, of_word[of] - tables, p[word], D, A, rng)
+        if i >= BURN:
+            mean += tables
+    return mean / SAMPLES
+
 
 class Root:
     """Probabilities of words by their customers. sizes, words: how many words have how many customers."""
@@ -297,24 +359,31 @@ def find_heads(base: DataFrame, mod: int, held: int, heads: int) -> tuple[Heads,
 
 
 def packed(base: DataFrame, sent, buckets: int, mod: int, held: int, training_only: bool) -> DataFrame:
-    """All tokens: one row for each slice and bucket. With texts that don't train, a row for each slice tells of its texts, in a group of its own."""
+    """All tokens: one row for each slice and bucket. With texts that don't train, a row for each slice tells of its texts, in a group of its own; without them, their tokens after split words come all the same."""
 
     def scan(batches):
-        heads, parts, start_parts = sent.value
+        heads, split = sent.value
         log_count = np.log10(heads.counts + 0.5)
         number = TaskContext.get().partitionId() << 32
         for part in shards(batches, "text", SLICE):
             ids, texts = column(part, "doc_id"), column(part, "text")
             trains = _trains(ids, mod, held)
-            if training_only:
+            if training_only and not len(split.keys):
                 ids, texts = ([v for v, t in zip(c, trains) if t] for c in (ids, texts))
                 trains = trains[trains]
             x = Slice(texts)
             place = heads.find(x.hash)
-            key, above = x.contexts(place, parts, start_parts, ids)
-            order = np.argsort(key, kind="stable")
+            key, above = x.contexts(place, split.parts, split.start_parts, ids)
+            if training_only:
+                some = trains[x.doc]
+                rest = np.flatnonzero(~some)
+                some[rest] = split.find(key[rest]) >= 0
+                some = np.flatnonzero(some)
+                order = some[np.argsort(key[some], kind="stable")]
+            else:
+                order = np.argsort(key, kind="stable")
             key, above, w, rank, d = key[order], above[order], x.hash[order], place[order], x.doc[order]
-            d = (d * 2 + trains[d]).astype(np.uint16 if len(ids) < 32768 else np.uint32)
+            d = trains[d].astype(np.uint8) if training_only else (d * 2 + trains[d]).astype(np.uint16 if len(ids) < 32768 else np.uint32)
             code = np.where(rank < 0, HEADS, rank).astype(np.uint16)
             bucket = _range(key, buckets)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets)) if len(key) else [0]
@@ -327,7 +396,7 @@ def packed(base: DataFrame, sent, buckets: int, mod: int, held: int, training_on
                 starts = np.flatnonzero(np.append(True, key[a + 1 : b] != key[a : b - 1]))
                 names, n = key[a:b][starts], np.diff(np.append(starts, b - a))
                 far = above[a:b] > HEADS
-                rows.append((int(bucket[a]), number, names.tobytes(), *map(_pack, (n.astype(np.uint32), np.minimum(above[a:b], HEADS).astype(np.uint16), above[a:b][far], code[a:b])), w[a:b][rank[a:b] < 0].tobytes(), None if training_only else _pack(d[a:b])))
+                rows.append((int(bucket[a]), number, names.tobytes(), *map(_pack, (n.astype(np.uint32), np.minimum(above[a:b], HEADS).astype(np.uint16), above[a:b][far], code[a:b])), w[a:b][rank[a:b] < 0].tobytes(), None if training_only and d[a:b].all() else _pack(d[a:b])))
                 if len(rows) == 64:
                     yield _batch_rows(rows, _PACKED, _PACKED_TYPES)
                     rows = []
@@ -347,11 +416,19 @@ def _texts(ids: list, sizes: np.ndarray, mod: int, held: int) -> tuple[np.ndarra
     return np.array([i or 0 for i in ids], np.int64), sizes, flags
 
 
+def _docs(packed: bytes | None, n: int) -> np.ndarray:
+    """Of each token, twice its text and whether it trains; without texts, whether it trains."""
+    if packed is None:
+        return np.ones(n, np.uint32)
+    return _unpack(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[int.from_bytes(packed[:8], "little") // n]).astype(np.uint32)
+
+
 class Bucket:
-    """The tokens of a bucket, by slice, and the seatings of its training tokens."""
+    """The tokens of a bucket, by slice, the seatings of its training tokens, and the cells that it has of split words."""
 
-    def __init__(self, table: pa.Table, heads: Heads):
-        table = table.sort_by("slice")
+    def __init__(self, table: pa.Table, heads: Heads, split: Split):
+        self.answers = table.filter(pc.is_null(table["codes"])).sort_by("slice")
+        table = table.filter(pc.is_valid(table["codes"])).sort_by("slice")
         plain = lambda c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint64)
         get = lambda c, t: [_unpack(x, t) for x in table[c].to_pylist()]
         self.slices = table["slice"].to_pylist()
@@ -359,22 +436,50 @@ class Bucket:
         self.sizes = [len(u) for u in above]
         above = np.concatenate(above).astype(np.int64)
         above[above == HEADS] = np.concatenate(get("far", np.uint32))
-        key = np.repeat(np.unique(plain("keys"), return_inverse=True)[1], np.concatenate(get("counts", np.uint32)))
+        keys, key = np.unique(plain("keys"), return_inverse=True)
+        key = np.repeat(key, np.concatenate(get("counts", np.uint32)))
+        of = split.find(keys)[key]
         self.head = np.concatenate(get("codes", np.uint16)).astype(np.int32)
         self.head[self.head == HEADS] = -1
         words = np.empty(len(above), np.uint64)
         words[self.head < 0] = plain("words")
         words[self.head >= 0] = heads.hashes[self.head[self.head >= 0]]
         self.names, self.word = np.unique(words, return_inverse=True)
-        trains = np.ones(len(above), bool)
-        if table["docs"][0].as_py() is not None:
-            docs = np.concatenate([_unpack(x, np.uint16 if int.from_bytes(x[:8], "little") == 2 * n else np.uint32).astype(np.uint32) for x, n in zip(table["docs"].to_pylist(), self.sizes)])
-            self.doc, trains = docs >> 1, (docs & 1).astype(bool)
-        seed = int(table["bucket"][0].as_py())
-        del words, table
+        docs = np.concatenate([_docs(x, n) for x, n in zip(table["docs"].to_pylist(), self.sizes)])
+        self.doc, trains = docs >> 1, (docs & 1).astype(bool)
+        self.number = int(table["bucket"][0].as_py())
+        del words, table, docs
         self.of_word = np.bincount(self.word, trains, len(self.names)).astype(np.int64)
+        self.alone, self.split = np.flatnonzero(of < 0), np.flatnonzero(of >= 0)
         # Numbers keep the order of what they stand for, so tokens that don't train leave the samples as they are.
-        self.chain = Chain(key, above, self.word, trains, seed)
+        some = self.alone
+        self.chain = Chain(key[some], above[some], self.word[some], trains[some], self.number)
+        some = self.split
+        pairs, pair = np.unique(of[some] << 32 | above[some], return_inverse=True)
+        cells, self.cell = np.unique(pair << 32 | self.word[some], return_inverse=True)
+        pair, word = pairs[cells >> 32], cells & 0xFFFFFFFF
+        self.cell_of, self.cell_above, self.cell_word = pair >> 32, pair & 0xFFFFFFFF, self.names[word]
+        self.cell_count = np.bincount(self.cell, trains[some], len(cells)).astype(np.int64)
+        self.cell_group = split.group(self.cell_of, self.cell_above)
+        dishes, self.dish = np.unique(self.cell_of << 32 | word, return_inverse=True)
+        self.dish_of, self.dish_word = dishes >> 32, self.names[dishes & 0xFFFFFFFF]
+
+    def average(self, ranges: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token, x and y of its probability x + y p(w). sums: of split words, customers and tables."""
+        x, y = np.empty(len(self.word)), np.empty(len(self.word))
+        for out, values in zip((x, y), self.chain.average()):
+            out[self.alone] = values[self.chain.cell]
+        if len(self.split):
+            rows = self.answers.to_pylist()  # in the order of groups and ranges
+            told = lambda c: np.concatenate([_unpack(r[c], np.float32) for r in rows if r[c] is not None]).astype(np.float64)
+            first, back, own = np.empty(len(self.cell_of)), np.empty(len(self.cell_of)), np.empty(len(self.dish_of))
+            order = np.argsort(self.cell_group, kind="stable")
+            first[order], back[order] = told("above"), told("docs")
+            own[np.argsort(_range(self.dish_word, ranges), kind="stable")] = told("counts")
+            customers, tables = sums[self.cell_of].T
+            x[self.split] = (first + back * own[self.dish] / (A + customers))[self.cell]
+            y[self.split] = (back * (A + D * tables) / (A + customers))[self.cell]
+        return x, y
 
 
 def _by_range(hashes: np.ndarray, buckets: int):
@@ -385,9 +490,9 @@ def _by_range(hashes: np.ndarray, buckets: int):
     return [(int(bucket[a]), order[a:b]) for a, b in zip(edges[:-1], edges[1:])]
 
 
-_WORDS = ["range", "words", "tables", "counts"]
-_WORDS_TYPES = [pa.int64(), *[pa.binary()] * 3]
-_WORDS_SCHEMA = "range long, words binary, tables binary, counts binary"
+_WORDS = ["range", "group", "bucket", "of", "above", "words", "tables", "counts"]
+_WORDS_TYPES = [*[pa.int64()] * 3, *[pa.binary()] * 5]
+_WORDS_SCHEMA = ", ".join(f"{c} {'binary' if i > 2 else 'long'}" for i, c in enumerate(_WORDS))
 _TEXT = ["ids", "sizes", "flags", "known", "base"]
 _PARTS = ["slice", "docs", *_TEXT, "logs"]
 _PARTS_TYPES = [pa.int64(), *[pa.binary()] * 7]
@@ -397,23 +502,104 @@ _MET_SCHEMA = ", ".join(f"{c} {'binary' if i else 'long'}" for i, c in enumerate
 _MET_TYPES = [pa.int64(), *[pa.binary()] * 13]
 
 
-def vocabulary(frame: DataFrame, sent, ranges: int) -> DataFrame:
-    """Customers that the root has of each word, and its training tokens, by range of words."""
+def ask(frame: DataFrame, sent, ranges: int) -> DataFrame:
+    """Customers that the root has of each word from words that aren't split, and its training tokens, by range of words. Of split words the cells of
+    each bucket, by group of pairs, and the dishes that it wants to know, by range."""
 
     def tables(table: pa.Table) -> pa.Table:
-        x = Bucket(table, sent.value[0])
-        mean = x.chain.root_customers()
-        return _table([(at, x.names[some].tobytes(), mean[some].tobytes(), x.of_word[some].tobytes()) for at, some in _by_range(x.names, ranges)], _WORDS, _WORDS_TYPES)
+        x = Bucket(table, *sent.value)
+        met = np.flatnonzero(x.of_word)
+        mean = np.zeros(len(x.names))
+        found = x.chain.root_customers()
+        mean[: len(found)] = found
+        out = [(at, None, None, None, None, x.names[some].tobytes(), mean[some].tobytes(), x.of_word[some].tobytes()) for at, some in ((at, met[i]) for at, i in _by_range(x.names[met], ranges))]
+        order = np.argsort(x.cell_group, kind="stable")
+        groups, starts = np.unique(x.cell_group[order], return_index=True)
+        for group, some in zip(groups.tolist(), np.split(order, starts[1:])):
+            out.append((None, group, x.number, None, _pack(x.cell_above[some].astype(np.uint32)), _pack(x.cell_word[some]), None, _pack(x.cell_count[some])))
+        at = _range(x.dish_word, ranges)
+        order = np.argsort(at, kind="stable")
+        found, starts = np.unique(at[order], return_index=True)
+        for at, some in zip(found.tolist(), np.split(order, starts[1:])):
+            out.append((at, None, x.number, _pack(x.dish_of[some]), None, _pack(x.dish_word[some]), None, None))
+        return _table(out, _WORDS, _WORDS_TYPES)
+
+    return frame.groupBy("bucket").applyInArrow(tables, _WORDS_SCHEMA)
+
+
+def seat_pairs(cells: DataFrame, sent, ranges: int) -> DataFrame:
+    """Seatings of the pairs that end in split words, by the counts of all buckets: each bucket is told x and y of its cells, each range the customers of its dishes."""
+
+    def seated(table: pa.Table) -> pa.Table:
+        split = sent.value[1]
+        table = table.sort_by("bucket")
+        get = lambda c, t: [_unpack(x, t) for x in table[c].to_pylist()]
+        group, buckets, counts = table["group"][0].as_py(), table["bucket"].to_pylist(), get("counts", np.int64)
+        edges = np.cumsum([0, *map(len, counts)])
+        names, word = np.unique(np.concatenate(get("words", np.uint64)), return_inverse=True)
+        above = np.concatenate(get("above", np.uint32)).astype(np.int64)
+        del table
+        chain = Chain(np.zeros(len(word), np.int64), above, word, np.concatenate(counts), group)
+        x, y, customers = chain.pairs()
+        out = [(None, group, b, None, _pack(x[c].astype(np.float32)), None, None, _pack(y[c].astype(np.float32))) for b, c in zip(buckets, np.split(chain.cell, edges[1:-1]))]
+        met = np.flatnonzero(customers)
+        of = np.searchsorted(split.first, group, side="right") - 1
+        for at, some in _by_range(names[chain.word[met]], ranges):
+            out.append((at, None, None, _pack(np.full(len(some), of, np.int64)), None, _pack(names[chain.word[met[some]]]), _pack(customers[met[some]]), None))
+        return _table(out, _WORDS, _WORDS_TYPES)
+
+    return cells.groupBy("group").applyInArrow(seated, _WORDS_SCHEMA)
+
+
+def vocabulary(asked: DataFrame, ranges: int) -> DataFrame:
+    """By range of words: customers that the root has of each word, and its training tokens; the tables and customers of split words in the range; and of dishes
+    that buckets asked for, customers without the discount."""
 
     def merged(table: pa.Table) -> pa.Table:
-        get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
-        names, place = np.unique(get("words", np.uint64), return_inverse=True)
-        count = np.bincount(place, get("counts", np.int64)).astype(np.int64)
+        rows = table.to_pylist()
+        own, met, asks = ([r for r in rows if kind == (r["of"] is not None) + (r["bucket"] is not None)] for kind in range(3))
+        at = rows[0]["range"]
+        plain = lambda c, t: np.frombuffer(b"".join(r[c] for r in own), t)
+        get = lambda some, c, t: np.concatenate([np.empty(0, t), *(_unpack(r[c], t) for r in some)])
+        names, place = np.unique(plain("words", np.uint64), return_inverse=True)
+        count = np.bincount(place, plain("counts", np.int64), len(names)).astype(np.int64)
         # Quarters add up without rounding, in any order.
-        customers = whole_customers(np.bincount(place, get("tables", np.float64)), count)
-        return _table([(table["range"][0].as_py(), names.tobytes(), customers.tobytes(), count.tobytes())], _WORDS, _WORDS_TYPES)
+        mean = np.bincount(place, plain("tables", np.float64), len(names))
+        dishes, place = np.unique(get(met, "of", np.int64) << 32 | np.searchsorted(names, get(met, "words", np.uint64)), return_inverse=True)
+        customers = np.maximum(np.rint(np.bincount(place, get(met, "tables", np.float64), len(dishes))), 1).astype(np.int64)
+        of, word = dishes >> 32, dishes & 0xFFFFFFFF
+        tables = seat_dishes(of, word, customers, mean, ranges, at)
+        mean += np.bincount(word, tables, len(names))
+        out = [(at, None, None, None, None, names.tobytes(), whole_customers(mean, count).tobytes(), count.tobytes())] if len(names) else []
+        if len(dishes):
+            found, place = np.unique(of, return_inverse=True)
+            out.append((at, None, None, _pack(found), None, None, _pack(np.bincount(place, tables)), _pack(np.bincount(place, customers))))
+        left = np.append(customers - D * tables, 0)
+        for r in asks:
+            wanted, hashes = _unpack(r["of"], np.int64), _unpack(r["words"], np.uint64)
+            word = np.searchsorted(names, hashes)
+            known = np.append(names, np.uint64(0))[word] == hashes
+            wanted = wanted << 32 | word
+            i = np.searchsorted(dishes, wanted)
+            known &= np.append(dishes, -1)[i] == wanted
+            out.append((at, None, r["bucket"], None, None, None, None, _pack(left[np.where(known, i, len(dishes))].astype(np.float32))))
+        return _table(out, _WORDS, _WORDS_TYPES)
+
+    return asked.groupBy("range").applyInArrow(merged, _WORDS_SCHEMA)
+
+
+def split_sums(found: DataFrame, n: int) -> np.ndarray:
+    """Customers and tables of each split word."""
 
-    return frame.groupBy("bucket").applyInArrow(tables, _WORDS_SCHEMA).groupBy("range").applyInArrow(merged, _WORDS_SCHEMA)
+    def scan(batches):
+        for batch in batches:
+            for of, tables, customers in zip(*(column(batch, c) for c in ("of", "tables", "counts"))):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack(of, np.int64)), pa.array(_unpack(customers, np.float64)), pa.array(_unpack(tables, np.float64))], names=["of", "customers", "tables"])
+
+    out = np.zeros((n, 2))
+    for r in found.mapInArrow(trimmed(scan), "of long, customers double, tables double").groupBy("of").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect():
+        out[r.of] = r.customers, r.tables
+    return out
 
 
 def make_root(words: DataFrame, heads: Heads) -> tuple[Root, np.ndarray]:
@@ -445,8 +631,17 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, heads: int = HEADS - 1,
     buckets = buckets or max(LEAST_BUCKETS, -(-train_tokens // BUCKET_TOKENS))
     ranges = max(16, buckets // 4)
     share = max(train_tokens, 1)
-    sent = spark.sparkContext.broadcast((top, -(-top.counts * buckets // share), -(-texts * buckets // share)))
-    words = materialise(vocabulary(packed(base, sent, buckets, mod, held, True), sent, ranges), "vocabulary")
+    split = Split(top, np.where(top.hashes == END, 1, -(-top.counts * buckets // share)), -(-texts * buckets // share))
+    sent = spark.sparkContext.broadcast((top, split))
+    asked = ask(packed(base, sent, buckets, mod, held, True), sent, ranges)
+    told = None
+    if len(split.keys):
+        asked = materialise(asked, "asked", "zstd")
+        told = materialise(seat_pairs(asked.filter("group IS NOT NULL"), sent, ranges), "pairs", "zstd")
+        asked = asked.filter("group IS NULL").unionByName(told.filter("group IS NULL"))
+    found = materialise(vocabulary(asked, ranges), "vocabulary")
+    words = found.filter("bucket IS NULL AND of IS NULL")
+    split_words = spark.sparkContext.broadcast(split_sums(found.filter("bucket IS NULL AND of IS NOT NULL"), len(split.groups)))
     root, customers = make_root(words, top)
     below = float(np.log10(train_tokens + 0.5 * (root.vocabulary + 1)))
     sent_root = spark.sparkContext.broadcast((root, root.p(customers)))
@@ -465,10 +660,9 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, heads: int = HEADS - 1,
         first = table.slice(0, 1).to_pylist()[0]
         if first["bucket"] < 0:  # a slice's texts go on as they are
             return _table([(first["bucket"], np.array([first["slice"]]).tobytes(), None, *[first[c] for c in _PACKED[2:7]], *[None] * 6)], _MET, _MET_TYPES)
-        x = Bucket(table, sent.value[0])
+        x = Bucket(table, *sent.value)
         p = sent_root.value[1]
-        first_part, second = x.chain.average()
-        first_part, second = first_part[x.chain.cell], second[x.chain.cell]
+        first_part, second = x.average(ranges, split_words.value)
         number = np.repeat(np.arange(len(x.slices)), x.sizes)
         some = x.head >= 0
         h = x.head[some]
@@ -527,7 +721,13 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, heads: int = HEADS - 1,
             logs[at] += _unpack(r["logs"], np.float64)
         return pa.table([pa.array(ids, mask=flags >= 2), pa.array(flags % 2 == 1), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), train_tokens)), pa.array(bases - tokens * below), pa.array(logs)], schema=final)
 
-    scored = packed(base, sent, buckets, mod, held, False).groupBy("bucket").applyInArrow(parts_of_bucket, _MET_SCHEMA)
     empty = F.lit(None).cast("binary")
+    tokens = packed(base, sent, buckets, mod, held, False)
+    if told is not None:
+        answers = told.filter("group IS NOT NULL").select("bucket", F.col("group").alias("slice"), "above", F.col("counts").alias("docs"))
+        dishes = found.filter("bucket IS NOT NULL").select("bucket", F.col("range").alias("slice"), "counts")
+        for some in (answers, dishes):
+            tokens = tokens.unionByName(some.select(*(F.col(c) if c in some.columns else empty.alias(c) for c in _PACKED)))
+    scored = tokens.groupBy("bucket").applyInArrow(parts_of_bucket, _MET_SCHEMA)
     known = words.select("range", *[empty.alias(c) for c in _MET[1:9]], "words", empty.alias("x"), empty.alias("y"), "tables", "counts")
     return scored.unionByName(known).groupBy("range").applyInArrow(parts_of_words, _PARTS_SCHEMA).groupBy("slice").applyInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

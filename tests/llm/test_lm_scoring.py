@@ -221,3 +221,23 @@ def test_probabilities_are_those_of_the_sequential_sampler(monkeypatch):
     met = error[[place[r] for r in rows]]
     print("log10 by token: mean", met.mean(), "mean size", np.abs(met).mean(), "largest", np.abs(met).max(), "all cells: mean size", np.abs(error).mean(), "largest", np.abs(error).max())
     assert abs(met.mean()) < 0.005 and np.abs(met).mean() < 0.02 and np.abs(met).max() < 0.3
+
+
+def test_a_split_word_has_the_counts_of_all_documents(shipped, make):
+    """Texts that are alike score alike, whichever part of a split word's tokens they are dealt to, and nearly as without parts."""
+    rng = random.Random(3)
+    texts = ["a b a a c", "a x a y the a z", "the a b a x the b"]
+    plain = [" ".join(rng.choice(["a", "the", "a", f"w{rng.randrange(60)}"]) for _ in range(40)) for _ in range(150)]
+    docs = [(i, texts[i % 3]) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(plain)] + [(2000 + i, t) for i, t in enumerate(plain)]
+    top, total, starts = lm.find_heads(make(docs), 5, 1, 100)
+    split = lm.Split(top, -(-top.counts * 64 // total), -(-starts * 64 // total))
+    assert split.groups.max() > 2  # several groups of pairs
+    rows = lm.score(make(docs)).collect()
+    dealt = {r.doc_id: r.score for r in rows}
+    for i, t in docs:
+        alike = next(j for j, u in docs if u == t)
+        assert dealt[i] == pytest.approx(dealt[alike], rel=1e-6)
+    whole = {r.doc_id: r.score for r in lm.score(make(docs), buckets=1).collect()}
+    error = [(dealt[i] - whole[i]) / len(tokens(t)) for i, t in docs]
+    print("log10 by token, split against whole: mean", sum(error) / len(error), "mean size", sum(map(abs, error)) / len(error), "largest", max(map(abs, error)))
+    assert abs(sum(error)) / len(error) < 0.03 and max(map(abs, error)) < 0.1

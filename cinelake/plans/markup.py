@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.functions import wikitext as w
@@ -15,6 +15,14 @@ from cinelake.plans._base import Tables, query
 from cinelake.session import checkpointed
 
 MANY = 1_000_000  # pages of a kind have ids of their own
+#: The ids of a kind in the database. They stand further apart than those that SQL tells, so that a table with more than MANY keys reaches into no other kind's.
+SPAN = 1_000_000_000_000
+
+
+def _shown(x: Column | str) -> Column:
+    """An id of the database as SQL tells it."""
+    c = F.col(x) if isinstance(x, str) else x
+    return (F.floor(c / SPAN) * MANY + c % SPAN).cast("long")
 
 
 def _two(x: str) -> str:
@@ -108,30 +116,37 @@ GRID = """== Monday ==
 
 
 def _articles(t: Tables) -> DataFrame:
+    """Pages over all tables."""
+
     def of(df: DataFrame, page_id: str, title: str, text: str) -> DataFrame:
         return df.selectExpr(f"CAST({page_id} AS BIGINT) AS id", "0 AS ns", f"{_filled(title)} AS title", f"{_filled(text)} AS text")
 
-    films = of(t.part, "p_partkey", "@@film@@ (film)", FILM)
-    shows = of(t.supplier, f"{3 * MANY} + s_suppkey", "@@show@@ (TV series)", SHOW)
-    seasons = of(t.supplier, f"{4 * MANY} + s_suppkey", "@@show@@ season 2", SEASON)
-    events = of(t.nation, f"{5 * MANY} + n_nationkey", "@@n_nationkey@@th @@n_name@@ Prize", EVENT)
-    grids = of(t.region, f"{6 * MANY} + r_regionkey", "@@(1990 + r_regionkey)@@–@@(91 + r_regionkey)@@ United States network television schedule", GRID)
-    plain = of(t.customer, f"{8 * MANY} + c_custkey", "@@c_name@@", "Nothing of interest.")
+    part, supplier, customer = t.part, t.supplier, t.customer
+    films = of(part, "p_partkey", "@@film@@ (film)", FILM)
+    shows = of(supplier, f"{3 * SPAN} + s_suppkey", "@@show@@ (TV series)", SHOW)
+    seasons = of(supplier, f"{4 * SPAN} + s_suppkey", "@@show@@ season 2", SEASON)
+    events = of(t.nation, f"{5 * SPAN} + n_nationkey", "@@n_nationkey@@th @@n_name@@ Prize", EVENT)
+    grids = of(t.region, f"{6 * SPAN} + r_regionkey", "@@(1990 + r_regionkey)@@–@@(91 + r_regionkey)@@ United States network television schedule", GRID)
+    plain = of(customer, f"{8 * SPAN} + c_custkey", "@@c_name@@", "Nothing of interest.")
     return films.unionByName(shows).unionByName(seasons).unionByName(events).unionByName(grids).unionByName(plain)
 
 
+def _claims(t: Tables) -> DataFrame:
+    return recognise.claims(_articles(t))
+
+
 def _database(t: Tables) -> publish.Database:
     """The published database of these articles; every second person has an article, films of a size are a franchise's parts, every fifth has a sequel."""
-    films = t.part.selectExpr(f"{_filled('@@film@@ (film)')} AS title", f"CAST({10 * MANY} + p_partkey AS BIGINT) AS qid", "CAST(p_partkey AS BIGINT) AS page_id")
-    shows = t.supplier.selectExpr(f"{_filled('@@show@@ (TV series)')} AS title", f"CAST({13 * MANY} + s_suppkey AS BIGINT) AS qid", f"CAST({3 * MANY} + s_suppkey AS BIGINT) AS page_id")
-    seasons = t.supplier.selectExpr(f"{_filled('@@show@@ season 2')} AS title", f"CAST({14 * MANY} + s_suppkey AS BIGINT) AS qid", f"CAST({4 * MANY} + s_suppkey AS BIGINT) AS page_id")
-    people = t.spark.range(0, 200, 2).selectExpr("'Actor ' || id AS title", f"{11 * MANY} + id AS qid", f"{MANY} + id AS page_id").unionByName(t.spark.range(0, 100, 2).selectExpr("'Director ' || id AS title", f"{12 * MANY} + id AS qid", f"{2 * MANY} + id AS page_id"))
-    wholes = t.spark.range(5).selectExpr("'Franchise ' || id AS title", f"{17 * MANY} + id AS qid", f"{7 * MANY} + id AS page_id")
+    films = t.part.selectExpr(f"{_filled('@@film@@ (film)')} AS title", f"CAST({10 * SPAN} + p_partkey AS BIGINT) AS qid", "CAST(p_partkey AS BIGINT) AS page_id")
+    shows = t.supplier.selectExpr(f"{_filled('@@show@@ (TV series)')} AS title", f"CAST({13 * SPAN} + s_suppkey AS BIGINT) AS qid", f"CAST({3 * SPAN} + s_suppkey AS BIGINT) AS page_id")
+    seasons = t.supplier.selectExpr(f"{_filled('@@show@@ season 2')} AS title", f"CAST({14 * SPAN} + s_suppkey AS BIGINT) AS qid", f"CAST({4 * SPAN} + s_suppkey AS BIGINT) AS page_id")
+    people = t.spark.range(0, 200, 2).selectExpr("'Actor ' || id AS title", f"{11 * SPAN} + id AS qid", f"{SPAN} + id AS page_id").unionByName(t.spark.range(0, 100, 2).selectExpr("'Director ' || id AS title", f"{12 * SPAN} + id AS qid", f"{2 * SPAN} + id AS page_id"))
+    wholes = t.spark.range(5).selectExpr("'Franchise ' || id AS title", f"{17 * SPAN} + id AS qid", f"{7 * SPAN} + id AS page_id")
     qids = films.unionByName(shows).unionByName(seasons).unionByName(people).unionByName(wholes)
-    part_of = t.part.selectExpr(f"CAST({10 * MANY} + p_partkey AS BIGINT) AS item_qid", f"CAST({17 * MANY} + p_size % 7 AS BIGINT) AS series_qid").unionByName(t.supplier.selectExpr(f"CAST({14 * MANY} + s_suppkey AS BIGINT) AS item_qid", f"CAST({13 * MANY} + s_suppkey AS BIGINT) AS series_qid"))
-    sequel_of = t.part.where("p_partkey % 5 = 0").selectExpr(f"CAST({10 * MANY} + p_partkey AS BIGINT) AS item_qid", f"CAST({10 * MANY} + p_partkey + 1 AS BIGINT) AS next_qid")
-    identifiers = t.part.selectExpr(f"CAST({10 * MANY} + p_partkey AS BIGINT) AS item_qid", "'imdb' AS source", "'tt' || p_partkey AS value").unionByName(people.selectExpr("qid AS item_qid", "'imdb' AS source", "'nm' || qid AS value"))
-    return publish.Database(checkpointed(recognise.claims(_articles(t))), qids, part_of, sequel_of, identifiers)
+    part_of = t.part.selectExpr(f"CAST({10 * SPAN} + p_partkey AS BIGINT) AS item_qid", f"CAST({17 * SPAN} + p_size % 7 AS BIGINT) AS series_qid").unionByName(t.supplier.selectExpr(f"CAST({14 * SPAN} + s_suppkey AS BIGINT) AS item_qid", f"CAST({13 * SPAN} + s_suppkey AS BIGINT) AS series_qid"))
+    sequel_of = t.part.where("p_partkey % 5 = 0").selectExpr(f"CAST({10 * SPAN} + p_partkey AS BIGINT) AS item_qid", f"CAST({10 * SPAN} + p_partkey + 1 AS BIGINT) AS next_qid")
+    identifiers = t.part.selectExpr(f"CAST({10 * SPAN} + p_partkey AS BIGINT) AS item_qid", "'imdb' AS source", "'tt' || p_partkey AS value").unionByName(people.selectExpr("qid AS item_qid", "'imdb' AS source", f"'nm' || (qid DIV {SPAN} * {MANY} + qid % {SPAN}) AS value"))
+    return publish.Database(checkpointed(_claims(t)), qids, part_of, sequel_of, identifiers)
 
 
 @query(
@@ -141,7 +156,7 @@ SELECT kind, CAST(count(*) AS BIGINT) AS pages, CAST(sum(id) AS BIGINT) AS ids F
   UNION ALL SELECT 'event', {5 * MANY} + n_nationkey FROM nation UNION ALL SELECT 'schedule', {6 * MANY} + r_regionkey FROM region) GROUP BY kind"""
 )
 def b1_recognise(t: Tables) -> DataFrame:
-    return recognise.claims(_articles(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("pages"), F.sum("page_id").alias("ids"))
+    return _claims(t).groupBy("kind").agg(F.count(F.lit(1)).alias("pages"), F.sum(_shown("page_id")).alias("ids"))
 
 
 @query(
@@ -150,17 +165,17 @@ SELECT p_partkey AS id, {V["film"]} AS title, {V["year"]} AS year, {V["date"]} A
   {V["studio"]} AS distributor, {V["country"]} AS country, {V["genre"]} AS genre, p_size || ' minutes' AS runtime, {V["film"]} || ' (film)' AS wiki_title FROM part"""
 )
 def b2_movies(t: Tables) -> DataFrame:
-    return _database(t).movies.select("id", "title", "year", "release_date", "director", "starring", "distributor", "country", "genre", "runtime", "wiki_title")
+    return _database(t).movies.select(_shown("id").alias("id"), "title", "year", "release_date", "director", "starring", "distributor", "country", "genre", "runtime", "wiki_title")
 
 
 @query(f"SELECT p_partkey AS id, {V['film']} || ' is a film by Maker.' AS lead, 'It is about ' || p_type || '.' AS plot FROM part")
 def f25_lead_and_plot(t: Tables) -> DataFrame:
-    return recognise.claims(_articles(t)).where("kind = 'movie'").select(F.col("page_id").alias("id"), "lead", "plot")
+    return _claims(t).where("kind = 'movie'").select(_shown("page_id").alias("id"), "lead", "plot")
 
 
 @query(f"SELECT p_partkey AS id, {V['film']} || ' is a film by Maker.' AS overview FROM part")
 def x2_movie_text(t: Tables) -> DataFrame:
-    return _database(t).movie_text
+    return _database(t).movie_text.select(_shown("id").alias("id"), "overview")
 
 
 _CREDITS = f"""
@@ -180,7 +195,7 @@ _KNOWN = f"{_NUMBER} % 2 = 0 AND wiki NOT LIKE 'Show%'"
 def x14_credits(t: Tables) -> DataFrame:
     """Published credits by the link target of their person, with and without an article."""
     db = _database(t)
-    return db.credits.join(db.person_alias, "person_id").select("wiki", "work_id", "work_type", "role")
+    return db.credits.join(db.person_alias, "person_id").select("wiki", _shown("work_id").alias("work_id"), "work_type", "role")
 
 
 @query(
@@ -191,7 +206,7 @@ SELECT wiki, CASE WHEN {_KNOWN} THEN wiki ELSE min(shown) END AS name,
 FROM ({_CREDITS}) GROUP BY wiki"""
 )
 def x6_people(t: Tables) -> DataFrame:
-    return _database(t).people.select("wiki", "name", "page_id", "qid")
+    return _database(t).people.select("wiki", "name", _shown("page_id").alias("page_id"), _shown("qid").alias("qid"))
 
 
 @query(
@@ -200,7 +215,7 @@ SELECT {3 * MANY} + s_suppkey AS id, {V["show"]} AS title, {V["begun"]} AS year,
   {V["network"]} AS network, '3' AS num_seasons, CAST(3 AS BIGINT) AS seasons_count, CAST(4 AS BIGINT) AS episodes_count FROM supplier"""
 )
 def x3_series(t: Tables) -> DataFrame:
-    return _database(t).television_series.select("id", "title", "year", "first_aired", "last_aired", "creator", "network", "num_seasons", "seasons_count", "episodes_count")
+    return _database(t).television_series.select(_shown("id").alias("id"), "title", "year", "first_aired", "last_aired", "creator", "network", "num_seasons", "seasons_count", "episodes_count")
 
 
 @query(
@@ -212,7 +227,7 @@ SELECT {3 * MANY} + s_suppkey AS series_id, season, num_episodes, first_aired, l
 )
 def b10_seasons(t: Tables) -> DataFrame:
     """Seasons out of overviews, season articles and episodes."""
-    return _database(t).television_seasons.select("series_id", F.col("season").cast("int").alias("season"), F.col("num_episodes").cast("int").alias("num_episodes"), "first_aired", "last_aired", "network", "viewers", F.col("rank").cast("int").alias("rank"))
+    return _database(t).television_seasons.select(_shown("series_id").alias("series_id"), F.col("season").cast("int").alias("season"), F.col("num_episodes").cast("int").alias("num_episodes"), "first_aired", "last_aired", "network", "viewers", F.col("rank").cast("int").alias("rank"))
 
 
 @query(
@@ -224,12 +239,12 @@ SELECT {3 * MANY} + s_suppkey AS series_id, season, number_in_season, number_ove
   (3, 1, 9, 'Late', {V["ended"]} || '-03-04', 0e0, '')) v(season, number_in_season, number_overall, title, air_date, viewers, prod_code)"""
 )
 def b8_episodes(t: Tables) -> DataFrame:
-    return _database(t).television_episodes.select(*(F.col(c).cast("int").alias(c) for c in ("season", "number_in_season", "number_overall")), "series_id", "title", "air_date", "viewers", "prod_code")
+    return _database(t).television_episodes.select(*(F.col(c).cast("int").alias(c) for c in ("season", "number_in_season", "number_overall")), _shown("series_id").alias("series_id"), "title", "air_date", "viewers", "prod_code")
 
 
 @query(f"SELECT {3 * MANY} + s_suppkey AS series_id, 'It begins.' AS summary FROM supplier")
 def x3_episode_text(t: Tables) -> DataFrame:
-    return _database(t).episode_text.select("series_id", "summary")
+    return _database(t).episode_text.select(_shown("series_id").alias("series_id"), "summary")
 
 
 @query(
@@ -238,7 +253,7 @@ SELECT {5 * MANY} + n_nationkey AS id, n_nationkey || 'th ' || n_name || ' Prize
   'March 1, ' || (1980 + n_nationkey) AS date, 1980 + n_nationkey AS year, {V["host"]} AS hosts, 'Hall' AS venue, 'Net 1' AS network, n_name AS best_film, 'Y' AS most_wins FROM nation"""
 )
 def x4_events(t: Tables) -> DataFrame:
-    return _database(t).events.select("id", "title", "kind", "award", "edition", "date", "year", "hosts", "venue", "network", "best_film", "most_wins")
+    return _database(t).events.select(_shown("id").alias("id"), "title", "kind", "award", "edition", "date", "year", "hosts", "venue", "network", "best_film", "most_wins")
 
 
 @query(
@@ -250,27 +265,27 @@ SELECT {6 * MANY} + r_regionkey AS schedule_id, 'Monday' AS day, 'Net ' || r_reg
   ('Winter', '21:00', '21:30', 'Show 2 (TV series)', {3 * MANY + 2}, 0, 0, 0e0)) v(part, start, "end", title, show_id, rerun, rank, rating)"""
 )
 def x5_schedule_slots(t: Tables) -> DataFrame:
-    return _database(t).schedule_slots.select("schedule_id", "day", "network", "part", "start", "end", "title", "show_id", "rerun", "rank", "rating")
+    return _database(t).schedule_slots.select(_shown("schedule_id").alias("schedule_id"), "day", "network", "part", "start", "end", "title", _shown("show_id").alias("show_id"), "rerun", "rank", "rating")
 
 
 @query(f"SELECT {6 * MANY} + r_regionkey AS id, 'prime time' AS daypart, (1990 + r_regionkey) || '–' || (91 + r_regionkey) AS season FROM region")
 def b5_schedules(t: Tables) -> DataFrame:
-    return _database(t).schedules.select("id", "daypart", "season")
+    return _database(t).schedules.select(_shown("id").alias("id"), "daypart", "season")
 
 
 @query(f"SELECT DISTINCT {7 * MANY} + p_size % 7 AS id, {17 * MANY} + p_size % 7 AS qid, 'Franchise ' || (p_size % 7) AS title FROM part WHERE p_size % 7 < 5")
 def j7_franchises(t: Tables) -> DataFrame:
-    return _database(t).franchises
+    return _database(t).franchises.select(_shown("id").alias("id"), _shown("qid").alias("qid"), "title")
 
 
 @query(f"SELECT {7 * MANY} + p_size % 7 AS franchise_id, p_partkey AS id, 'movies' AS kind FROM part WHERE p_size % 7 < 5")
 def j8_members(t: Tables) -> DataFrame:
-    return _database(t).franchise_members
+    return _database(t).franchise_members.select(_shown("franchise_id").alias("franchise_id"), _shown("id").alias("id"), "kind")
 
 
 @query("SELECT p_partkey AS id, 'movies' AS kind, p_partkey + 1 AS next_id FROM part WHERE p_partkey % 5 = 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part)")
 def j9_sequels(t: Tables) -> DataFrame:
-    return _database(t).sequels
+    return _database(t).sequels.select(_shown("id").alias("id"), "kind", _shown("next_id").alias("next_id"))
 
 
 @query(
@@ -280,7 +295,7 @@ UNION ALL SELECT DISTINCT {_NUMBER} + CASE WHEN wiki LIKE 'Actor%' THEN {MANY} E
   'nm' || ({_NUMBER} + CASE WHEN wiki LIKE 'Actor%' THEN {11 * MANY} ELSE {12 * MANY} END) FROM ({_CREDITS}) WHERE {_KNOWN}"""
 )
 def j10_identifiers(t: Tables) -> DataFrame:
-    return _database(t).external_ids
+    return _database(t).external_ids.select(_shown("id").alias("id"), "kind", "source", "value")
 
 
 @query(
@@ -293,7 +308,7 @@ SELECT page_id, field, target FROM (
   UNION ALL SELECT {4 * MANY} + s_suppkey, 'network', {V["network"]} FROM supplier)"""
 )
 def b14_links(t: Tables) -> DataFrame:
-    return recognise.claims(_articles(t)).select("page_id", F.explode("links").alias("l")).select("page_id", "l.field", "l.target")
+    return _claims(t).select("page_id", F.explode("links").alias("l")).select(_shown("page_id").alias("page_id"), "l.field", "l.target")
 
 
 @query(f"SELECT 'a work credited as a person' AS kind, {V['show']} || ' (TV series)' AS title, 'starring lists the article itself' AS detail FROM supplier")

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from cinelake.functions import wikitext as w
 from cinelake.operators import publish, recognise
 from cinelake.plans._base import Tables, query
-from cinelake.session import checkpointed
+from cinelake.session import settled
 
 MANY = 1_000_000  # pages of a kind have ids of their own
 #: The ids of a kind in the database. They stand further apart than those that SQL tells, so that a table with more than MANY keys reaches into no other kind's.
 SPAN = 1_000_000_000_000
+TASKS = 4  # tasks for each core
 
 
 def _shown(x: Column | str) -> Column:
@@ -25,6 +26,11 @@ def _shown(x: Column | str) -> Column:
     return (F.floor(c / SPAN) * MANY + c % SPAN).cast("long")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by their key while they are slim; a table in one file would else make its articles, and read them, in one task."""
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _two(x: str) -> str:
     return f"lpad(CAST({x} AS VARCHAR(9)), 2, '0')"
 
@@ -116,12 +122,12 @@ GRID = """== Monday ==
 
 
 def _articles(t: Tables) -> DataFrame:
-    """Pages over all tables."""
+    """Pages over all tables. A text is made where its row was dealt to: what asks for the task's number moves no further down."""
 
     def of(df: DataFrame, page_id: str, title: str, text: str) -> DataFrame:
-        return df.selectExpr(f"CAST({page_id} AS BIGINT) AS id", "0 AS ns", f"{_filled(title)} AS title", f"{_filled(text)} AS text")
+        return df.selectExpr(f"CAST({page_id} AS BIGINT) AS id", "0 AS ns", f"{_filled(title)} AS title", f"IF(spark_partition_id() >= 0, {_filled(text)}, NULL) AS text")
 
-    part, supplier, customer = t.part, t.supplier, t.customer
+    part, supplier, customer = _spread(t.part, "p_partkey"), _spread(t.supplier, "s_suppkey"), _spread(t.customer, "c_custkey")
     films = of(part, "p_partkey", "@@film@@ (film)", FILM)
     shows = of(supplier, f"{3 * SPAN} + s_suppkey", "@@show@@ (TV series)", SHOW)
     seasons = of(supplier, f"{4 * SPAN} + s_suppkey", "@@show@@ season 2", SEASON)
@@ -146,7 +152,7 @@ def _database(t: Tables) -> publish.Database:
     part_of = t.part.selectExpr(f"CAST({10 * SPAN} + p_partkey AS BIGINT) AS item_qid", f"CAST({17 * SPAN} + p_size % 7 AS BIGINT) AS series_qid").unionByName(t.supplier.selectExpr(f"CAST({14 * SPAN} + s_suppkey AS BIGINT) AS item_qid", f"CAST({13 * SPAN} + s_suppkey AS BIGINT) AS series_qid"))
     sequel_of = t.part.where("p_partkey % 5 = 0").selectExpr(f"CAST({10 * SPAN} + p_partkey AS BIGINT) AS item_qid", f"CAST({10 * SPAN} + p_partkey + 1 AS BIGINT) AS next_qid")
     identifiers = t.part.selectExpr(f"CAST({10 * SPAN} + p_partkey AS BIGINT) AS item_qid", "'imdb' AS source", "'tt' || p_partkey AS value").unionByName(people.selectExpr("qid AS item_qid", "'imdb' AS source", f"'nm' || (qid DIV {SPAN} * {MANY} + qid % {SPAN}) AS value"))
-    return publish.Database(checkpointed(_claims(t)), qids, part_of, sequel_of, identifiers)
+    return publish.Database(settled(_claims(t)), qids, part_of, sequel_of, identifiers)
 
 
 @query(
@@ -320,6 +326,10 @@ def b17_lint_published(t: Tables) -> DataFrame:
 # The scanner's functions, one by one.
 
 
+def _parts(t: Tables) -> DataFrame:
+    return _spread(t.part, "p_partkey")
+
+
 def _through(f: Callable[[str], object], kind: str):
     return F.udf(f, kind, useArrow=True)
 
@@ -333,7 +343,7 @@ def f16_templates(t: Tables) -> DataFrame:
     """A template among others, its named parameters; inner bars cut none, and of equal names the last counts."""
     text = F.concat(F.lit("{{Infobox filmmaker|a=1}} {{infobox Film | A = 0|a={{b|"), "p_size", F.lit("}}|c=[["), "p_brand", F.lit("|x]]| Long name ="), "p_type", F.lit("|no value|=none}} tail {{Infobox film|a=2}}"))
     read = _through(lambda s: w.infobox(w.template(s, "Infobox film") or ""), "map<string,string>")
-    return t.part.select("p_partkey", F.explode(read(text)).alias("k", "v"))
+    return _parts(t).select("p_partkey", F.explode(read(text)).alias("k", "v"))
 
 
 @query("SELECT p_partkey, name, wiki FROM part, LATERAL (VALUES ('Ann ' || p_size, 'Ann ' || p_size), ('Shown', 'Bob ' || p_size), ('Cy Roe', ''), ('Di Fox', 'Di Fox'), ('Ed', '')) x(name, wiki)")
@@ -341,21 +351,21 @@ def f22_people(t: Tables) -> DataFrame:
     text = F.concat(F.lit("Story: [[Ann "), "p_size", F.lit("]] & [[Bob "), "p_size", F.lit("|Shown]] and Cy Roe<ref>x</ref><br/>* {{sortname|Di|Fox}}{{nowrap|}}\n* [[Di Fox]]\n* {{ill|Ed|de|Ed}}\n* [[Ann "), "p_size", F.lit("]]"))
     # Di Fox occurs unlinked and linked: two entries; the first one is dropped here to keep names unique.
     read = _through(lambda s: _pairs(w.people(s)), "array<string>")
-    each = t.part.select("p_partkey", F.explode(read(text)).alias("x")).select("p_partkey", F.split("x", ">")[0].alias("name"), F.split("x", ">")[1].alias("wiki"))
+    each = _parts(t).select("p_partkey", F.explode(read(text)).alias("x")).select("p_partkey", F.split("x", ">")[0].alias("name"), F.split("x", ">")[1].alias("wiki"))
     return each.where("NOT (name = 'Di Fox' AND wiki = '')")
 
 
 @query("SELECT p_partkey, p_type || '|Second|' || p_size AS items FROM part")
 def f23_items(t: Tables) -> DataFrame:
     text = F.concat(F.lit("{{flatlist|\n* "), "p_type", F.lit("\n* [[X|Second]],\n}}<br>• "), "p_size", F.lit("<br />Second"))
-    return t.part.select("p_partkey", F.array_join(_through(w.items, "array<string>")(text), "|").alias("items"))
+    return _parts(t).select("p_partkey", F.array_join(_through(w.items, "array<string>")(text), "|").alias("items"))
 
 
 @query("SELECT p_partkey, 'Studio ' || p_size || '>Company ' || p_size || '>worldwide|Plain>>' AS links FROM part")
 def f24_links(t: Tables) -> DataFrame:
     text = F.concat(F.lit("[[company_"), "p_size", F.lit("#part|Studio "), "p_size", F.lit("]] (worldwide)<br>Plain<br>Plain"))
     read = _through(lambda s: [f"{x['name']}>{x['wiki']}>{x['note']}" for x in w.links(s)], "array<string>")
-    return t.part.select("p_partkey", F.array_join(read(text), "|").alias("links"))
+    return _parts(t).select("p_partkey", F.array_join(read(text), "|").alias("links"))
 
 
 @query(
@@ -366,7 +376,7 @@ SELECT p_partkey, r, c, rows, cols, head, body FROM part, LATERAL (VALUES (0, 0,
 def f27_tables(t: Tables) -> DataFrame:
     text = F.concat(F.lit('{| class="wikitable"\n|+ caption\n! h !! colspan=2 | '), "p_brand", F.lit("\n|-\n| rowspan=2 | [[a|b]] || "), "p_size", F.lit(' || x\nmore\n|-\n| style="a" colspan="2" | '), "p_type", F.lit("\n|}"))
     read = _through(lambda s: [(c.row, c.column, c.rows, c.columns, c.header, c.text) for x in w.tables(s) for c in x.cells], "array<struct<r:int,c:int,rows:int,cols:int,head:boolean,body:string>>")
-    return t.part.select("p_partkey", F.inline(read(text)))
+    return _parts(t).select("p_partkey", F.inline(read(text)))
 
 
 @query(
@@ -383,27 +393,27 @@ def f28_dates(t: Tables) -> DataFrame:
         _filled("unknown @@p_type@@"),
     ]
     text = F.expr("CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END")
-    return t.part.select("p_partkey", F.array_join(_through(w.dates, "array<string>")(text), ",").alias("dates"))
+    return _parts(t).select("p_partkey", F.array_join(_through(w.dates, "array<string>")(text), ",").alias("dates"))
 
 
 @query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {V['date']} WHEN 1 THEN CAST({V['year']} AS VARCHAR) WHEN 2 THEN {V['date']} ELSE '' END AS life FROM part")
 def f30_life_dates(t: Tables) -> DataFrame:
     cases = [_filled("{{birth date and age|df=yes|@@year@@|@@month@@|@@day@@}}"), _filled("{{bda|@@year@@}}"), _filled("{{Death-date|@@year@@|@@month@@|@@day@@|1900|1|1}}"), _filled("born @@year@@")]
     text = F.expr("CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END")
-    return t.part.select("p_partkey", _through(w.life_date, "string")(text).alias("life"))
+    return _parts(t).select("p_partkey", _through(w.life_date, "string")(text).alias("life"))
 
 
 @query(f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '2010-05-06' ELSE {V['date']} END AS aired FROM part")
 def f31_air_dates(t: Tables) -> DataFrame:
     first = _filled("{{Start date|@@year@@|@@month@@|@@day@@}}")
     text = F.expr(f"{first} || CASE WHEN p_partkey % 2 = 0 THEN ' (DVD) ' ELSE ' (cinema) ' END || '{{{{Start date|2010|5|6}}}}'")
-    return t.part.select("p_partkey", _through(w.air_date, "string")(text).alias("aired"))
+    return _parts(t).select("p_partkey", _through(w.air_date, "string")(text).alias("aired"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size || 'A / ' || p_brand END AS code FROM part")
 def f32_production_codes(t: Tables) -> DataFrame:
     text = F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'x --> ' || p_brand ELSE p_size || 'A<!-- no --><br />  ' || p_brand || '<ref>source' END")
-    return t.part.select("p_partkey", _through(w.production_code, "string")(text).alias("code"))
+    return _parts(t).select("p_partkey", _through(w.production_code, "string")(text).alias("code"))
 
 
 @query("SELECT p_partkey, '[[A]]' || p_size || '|' || 'B' AS names FROM part")
@@ -411,13 +421,13 @@ def f43_merged_people(t: Tables) -> DataFrame:
     """Of several fields each person once, by target, or by name where there is none."""
     text = F.concat(F.lit("[[Ann|A]]"), "p_size")
     merged = F.udf(lambda s: "|".join(f"[[{p['name'][0]}]]{s.rpartition(']')[2]}" if p["wiki"] else p["name"] for p in w.merged_people(s, "B", "[[Ann|Other]]<br>B")), "string", useArrow=True)
-    return t.part.select("p_partkey", merged(text).alias("names"))
+    return _parts(t).select("p_partkey", merged(text).alias("names"))
 
 
 @query("SELECT p_partkey, 'Picture ' || p_size || '.jpg' AS file FROM part")
 def f44_file_names(t: Tables) -> DataFrame:
     text = F.concat(F.lit("<!-- a -->[[Picture "), "p_size", F.lit(".jpg|thumb]]"))
-    return t.part.select("p_partkey", _through(w.file_of, "string")(text).alias("file"))
+    return _parts(t).select("p_partkey", _through(w.file_of, "string")(text).alias("file"))
 
 
 _CUT = "substr(p_name, 1, 11)"
@@ -430,7 +440,7 @@ SELECT p_partkey, CASE WHEN length(p_name) <= 11 THEN p_name ELSE trim(CASE WHEN
 )
 def f25_trim(t: Tables) -> DataFrame:
     """A cut falls back to a blank in the second half."""
-    return t.part.select("p_partkey", _through(lambda s: w.trim(s, 11), "string")("p_name").alias("cut"))
+    return _parts(t).select("p_partkey", _through(lambda s: w.trim(s, 11), "string")("p_name").alias("cut"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -64,7 +65,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder: what is costly is done once, and a lost executor costs no rerun."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def settled(df: DataFrame) -> DataFrame:
+    """df as compressed parquet in the shared folder, read again: made once, and each reader takes only the columns and the rows that it asks for."""
+    path = f"{shared_folder(df.sparkSession)}/cinelake/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

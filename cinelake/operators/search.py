@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,49 @@ def _size(fields: Iterable[str]) -> Column:
     return sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in fields), F.lit(0))
 
 
+INDEX = "gram string, id long, field string, size int, tf long"
+_INDEX = pa.schema([("gram", pa.string()), ("id", pa.int64()), ("field", pa.string()), ("size", pa.int32()), ("tf", pa.int64())])
+CHUNK = 1 << 20  # characters that are counted at once
+
+
+def _counted(texts: list[tuple[int | None, int, str, list[str]]]) -> pa.RecordBatch:
+    """Rows of the index: how often each run of three characters stands in the texts of an (id, size, field)."""
+    pieces = [x for *_, some in texts for x in some]
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64)
+    whose = np.repeat(np.repeat(np.arange(len(texts)), [len(some) for *_, some in texts]), lengths)
+    end = np.repeat(np.cumsum(lengths), lengths)
+    at = np.flatnonzero(np.arange(len(codes)) + 3 <= end)  # no run goes from one text into the next
+    grams, which = np.unique(codes[at] << 42 | codes[at + 1] << 21 | codes[at + 2], return_inverse=True)
+    pairs, tf = np.unique(whose[at] * len(grams) + which, return_counts=True)
+    owner, which = np.divmod(pairs, max(len(grams), 1))
+    shown = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    named = pa.array([shown[i : i + 3] for i in range(0, len(shown), 3)], pa.string())
+    ids, sizes, fields = (pa.array([x[n] for x in texts], _INDEX.field(name).type) for n, name in enumerate(("id", "size", "field")))
+    return pa.RecordBatch.from_arrays([named.take(pa.array(which)), *(x.take(pa.array(owner)) for x in (ids, fields, sizes)), pa.array(tf)], schema=_INDEX)
+
+
 def index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(gram, id, field, tf, size) of the raw text of some columns; size: grams of all of them, so that scoring needs no other table."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), _grams(F.coalesce(F.col(f), F.lit(""))).alias("grams")) for f in fields))
-    each = df.select(F.col(key).cast("long").alias("id"), _size(fields).alias("size"), F.explode(parts).alias("p")).select("id", "size", "p.field", F.explode("p.grams").alias("gram"))
-    return each.groupBy("gram", "id", "field", "size").agg(F.count(F.lit(1)).alias("tf"))
+    """(gram, id, field, tf, size) of the raw text of some columns; size: grams of all of them, so that scoring needs no other table.
+
+    Texts are dealt out once, by id; there each id is counted on its own, so what is moved and held doesn't grow with the grams of a text."""
+
+    def scan(batches):
+        rows = ((i, size, texts) for b in batches for i, size, *texts in zip(*(c.to_pylist() for c in b.columns)))
+        held, n = [], 0
+        for (i, size), same in groupby(rows, key=lambda r: r[:2]):
+            for f, some in zip(fields, zip(*(texts for *_, texts in same))):
+                held.append((i, size, f, list(some)))
+                n += sum(map(len, some))
+            if n >= CHUNK:
+                yield _counted(held)
+                held, n = [], 0
+        if held:
+            yield _counted(held)
+
+    texts = df.select(F.col(key).cast("long").alias("_id"), _size(fields).cast("int").alias("_size"), *(F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"_text{n}") for n, f in enumerate(fields)))
+    dealt = texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id").sortWithinPartitions("_id", "_size")
+    return dealt.mapInArrow(scan, INDEX)
 
 
 def statistics(df: DataFrame, fields: Iterable[str]) -> DataFrame:
